@@ -409,3 +409,125 @@ def sync_counts(c: DataFrame) -> DataFrame:
 )
 def segment_roll(c: DataFrame) -> DataFrame:
     return merge.segment_numbers(c.filter("machine is null"), 1_000_000).select("id", "segment")
+
+
+@table_query(
+    "documents",
+    "SELECT doc_id, CASE WHEN n <= 1536 THEN t ELSE t[1:512] || chr(10) || '… [' || (n - 1536) || ' bytes truncated] …' || chr(10) || t[-1024:] END AS clipped "
+    "FROM (SELECT doc_id, regexp_replace(text, '[^\\x01-\\x7f]', '?', 'g') AS t, length(text) AS n FROM documents)",
+)
+def head_tail_clip(d: DataFrame) -> DataFrame:
+    """On text made ASCII, where characters are bytes."""
+    from ..streaming.capture import clip_bytes
+
+    ascii_text = F.regexp_replace("text", "[^\\x01-\\x7f]", "?")
+    return d.select("doc_id", F.decode(clip_bytes(F.encode(ascii_text, "UTF-8"), 512, 1024), "UTF-8").alias("clipped"))
+
+
+@query("SELECT id, CASE exit_code WHEN 0 THEN '0' WHEN 1 THEN '1' WHEN 2 THEN '2' WHEN 3 THEN '3' ELSE '? (no exit recorded)' END AS label FROM commands")
+def exit_labels(c: DataFrame) -> DataFrame:
+    return c.select("id", tx.exit_label(stats.group_key("exit")).alias("label"))
+
+
+@query("SELECT id, '''' || replace(cmd, '''', '''\\''''') || '''' AS quoted FROM commands")
+def shell_quoted(c: DataFrame) -> DataFrame:
+    from ..functions.commandline import shell_quote
+
+    return c.select("id", shell_quote(F.col("cmd")).alias("quoted"))
+
+
+@query("SELECT id, regexp_full_match(cmd, '\\s*(exit(\\s+[0-9]+)?|logout)\\s*') AS leaves FROM commands")
+def shell_exits(c: DataFrame) -> DataFrame:
+    from ..functions.commandline import shell_exit
+
+    return c.select("id", shell_exit(F.col("cmd")).alias("leaves"))
+
+
+@query()
+def fnv_keys(c: DataFrame) -> DataFrame:
+    return c.select("id", tx.fnv_seq(F.col("cmd")).alias("seq"))
+
+
+@table_query("documents")
+def strip_ansi(d: DataFrame) -> DataFrame:
+    """Documents made into terminal output by rule, and stripped again."""
+    from ..functions.terminal import strip_ansi as strip
+
+    return d.select("doc_id", strip(_coloured()).alias("plain"))
+
+
+@table_query("documents")
+def ansi_html(d: DataFrame) -> DataFrame:
+    from ..functions.terminal import ansi_html as render
+
+    return d.select("doc_id", render(_coloured()).alias("html"))
+
+
+def _coloured():
+    """The text with each 'the' in red and lines ended as a terminal does."""
+    red = F.regexp_replace("text", r"\bthe\b", "\x1b[31mthe\x1b[0m")
+    return F.concat(F.lit("\x1b]0;title\x07working\r"), F.replace(red, F.lit("\n"), F.lit("\r\n")))
+
+
+@query(slim=False)
+def diff_unified(c: DataFrame) -> DataFrame:
+    """Each failed run's output against that of the previous run of its command."""
+    from ..functions.diff import unified_diff
+
+    pairs = listing.previous_runs(c).join(c.filter("exit_code <> 0 AND id % 10 < 8").select("id", "plain"), "id")
+    old = c.select(F.col("id").alias("prev_id"), F.col("plain").alias("old"))
+    return pairs.join(old, "prev_id").select("id", "prev_id", unified_diff(F.col("old"), F.col("plain")).alias("diff"))
+
+
+@query(slim=False)
+def segment_batch(c: DataFrame) -> DataFrame:
+    """The sessions' terminal streams, made from the commands by rule, cut into commands again."""
+    from ..streaming.jobs import segment_batch as segment
+
+    text = F.concat(
+        F.lit("\x1b]6973;cmd="), F.base64(F.encode("cmd", "UTF-8")), F.lit("\x07\x1b]133;C\x07"), F.replace(F.coalesce("plain", F.lit("")), F.lit("\n"), F.lit("\r\n")),
+        F.lit("\x1b]133;D;"), F.coalesce(F.col("exit_code").cast("string"), F.lit("")), F.lit("\x07"),
+    )
+    own = c.filter("session_id > 0").select("session_id", F.col("id").alias("seq"), F.timestamp_millis("started_ms").alias("ts"), F.encode(text, "UTF-8").alias("data"))
+    return segment(own).select("session_id", "n", "cmd", "exit_code", "output_bytes", "truncated")
+
+
+@query(slim=False)
+def export_markdown(c: DataFrame) -> DataFrame:
+    from ..sinks import export
+
+    rows = export.prepared(listing.newest_then_oldest_first(c), redacted=True)
+    return export.markdown(rows).orderBy("started_ms", "id")
+
+
+@query(slim=False)
+def export_json(c: DataFrame) -> DataFrame:
+    from ..sinks import export
+
+    return export.json_rows(export.prepared(listing.newest_then_oldest_first(c), redacted=True))
+
+
+@query(slim=False)
+def export_html(c: DataFrame) -> DataFrame:
+    from ..sinks import export
+
+    return export.html_page(export.prepared(listing.newest_then_oldest_first(c), redacted=True))
+
+
+@query(slim=False)
+def export_cast(c: DataFrame) -> DataFrame:
+    from ..sinks import export
+
+    return export.asciicast(export.prepared(listing.newest_then_oldest_first(c), redacted=True))
+
+
+@query()
+def picker_feed(c: DataFrame) -> DataFrame:
+    return listing.picker_feed(c)
+
+
+@query()
+def stats_table(c: DataFrame) -> DataFrame:
+    from ..sinks import export
+
+    return export.stats_table(stats.breakdown(c, "exit", 15))
