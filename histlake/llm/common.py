@@ -33,8 +33,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Session settings the operators rely on: short Arrow batches."""
+    """Session settings the operators rely on.
+
+    Short Arrow batches; and Bloom filters of at most 8 MB ahead of a shuffled
+    join of texts with the few that are needed, at any size of the tables.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "1MB")
+    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold", "1TB")
 
 
 def scratch(spark: SparkSession, label: str) -> str:
@@ -50,6 +56,9 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     """
     path = scratch(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
+    # The write's shuffle files go once the driver has collected its garbage.
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -72,6 +81,26 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Rec
     return df.mapInArrow(run, schema)
 
 
+def unused(df: DataFrame, *wanted: str) -> list[str]:
+    """Column names like the wanted ones that the table does not have yet, case aside."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all of a row's values."""
+    return F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+
+
+def own_columns(df: DataFrame) -> list[Column]:
+    return [F.col(f"`{c}`") for c in df.columns]
+
+
 def release() -> None:
     """Give a worker's freed memory back: it stays alive, idle, beside others."""
     gc.collect()

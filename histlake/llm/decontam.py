@@ -23,10 +23,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, staged, text_bytes
+from .common import own_columns, prepare, row_hash, staged, text_bytes, unused
 
 WIDTH = 13
 SEGMENT_WORDS = 2_000_000
@@ -90,8 +90,8 @@ class _Builder:
         return out
 
 
-def build_index(docs: DataFrame, terms: list[bytes] | None = None) -> DataFrame:
-    """The stored index of ``docs`` (doc_id, text, and row_key if it has one), of these terms or of all."""
+def build_index(docs: DataFrame, terms: list[bytes] | None = None, row: Column | None = None) -> DataFrame:
+    """The stored index of ``docs`` (doc_id, text), of these terms or of all; ``row`` tells rows of one id apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         build = _Builder(terms)
@@ -104,7 +104,7 @@ def build_index(docs: DataFrame, terms: list[bytes] | None = None) -> DataFrame:
             yield build.row()
 
     prepare(docs.sparkSession)
-    key = F.col("row_key") if "row_key" in docs.columns else F.lit(0).cast("long")
+    key = F.lit(0).cast("long") if row is None else row
     rows = docs.select(F.col("doc_id").cast("long"), key.alias("row_key"), "text").mapInArrow(run, SEGMENT)
     return staged(rows.withColumn("segment", F.monotonically_increasing_id()), "postings")
 
@@ -238,11 +238,11 @@ def _digest(matches: DataFrame) -> DataFrame:
     return matches.mapInArrow(run, "doc_id long, row_key long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, row: Column | None = None) -> DataFrame:
     """One row per document: its words, the words inside test windows, the items met, and the verdict."""
     parts = blocks(benchmark, width)
     first, second = next(parts, ([], {})), next(parts, None)
-    index = build_index(docs, sorted({t for w in first[1] for t in w}) if second is None else None)
+    index = build_index(docs, sorted({t for w in first[1] for t in w}) if second is None else None, row)
     if second is None:
         return _digest(_search(index, *first))
     found = _search(index, *first).unionByName(_search(index, *second))
@@ -257,7 +257,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) ->
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that are not contaminated, all columns kept."""
-    keyed = docs.withColumn("row_key", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
-    dirty = staged(decontaminate(keyed, benchmark).filter("contaminated").select(F.col("doc_id").alias("__id"), F.col("row_key").alias("__key")).distinct(), "dirty")
-    kept = keyed.join(dirty, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("row_key") == F.col("__key")), "left_anti")
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    found = decontaminate(docs, benchmark, row=row_hash(docs)).filter("contaminated")
+    own_key, id_name, key_name = unused(docs, "__key", "__dirty_id", "__dirty_key")
+    dirty = staged(found.select(F.col("doc_id").alias(id_name), F.col("row_key").alias(key_name)).distinct(), "dirty")
+    keyed = docs.withColumn(own_key, row_hash(docs))
+    same = F.col("doc_id").eqNullSafe(F.col(id_name)) & (F.col(own_key) == F.col(key_name))
+    return keyed.join(dirty, same, "left_anti").select(*own_columns(docs))

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, staged, text_bytes
+from .common import map_rows, own_columns, row_hash, staged, text_bytes, unused
 from .graph import components
 
 DISTANCE = 3
@@ -198,10 +198,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
     in everything one stays. A component without ids keeps the row of the least
     hash.
     """
-    row = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
-    own = staged(fingerprints(docs, row), "fingerprints")
+    own = staged(fingerprints(docs, row_hash(docs)), "fingerprints")
     rooted = own.join(_roots(own), "fp")
     order = F.struct(F.col("doc_id").isNull().alias("null"), F.col("doc_id"), F.col("row"))
-    first = rooted.groupBy("root").agg(F.min(order).alias("first")).select(F.col("first.doc_id").alias("__id"), F.col("first.row").alias("__row"))
-    kept = docs.withColumn("__row2", row).join(first, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__row2") == F.col("__row")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__row2"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    own_key, id_name, key_name = unused(docs, "__key", "__kept_id", "__kept_key")
+    first = rooted.groupBy("root").agg(F.min(order).alias("first")).select(F.col("first.doc_id").alias(id_name), F.col("first.row").alias(key_name))
+    keyed = docs.withColumn(own_key, row_hash(docs))
+    same = F.col("doc_id").eqNullSafe(F.col(id_name)) & (F.col(own_key) == F.col(key_name))
+    return keyed.join(first, same, "left_semi").dropDuplicates(["doc_id", own_key]).select(*own_columns(docs))
