@@ -144,15 +144,15 @@ WHOLE, SHOWN, SOUGHT = 1, 2, 3
 
 
 def _marks(parsed: DataFrame) -> DataFrame:
-    """(rid, marks): for each document the phrases (their numbers and kinds) that may hold duplicate windows."""
-    each = parsed.select("rid", F.explode(F.arrays_zip("anchors", "phrases")).alias("p")).select("rid", F.col("p.anchors").alias("anchor"), F.col("p.phrases").alias("phrase"))
-    table = staged(each.groupBy("anchor", "phrase").agg(F.count("*").alias("n"), F.min("rid").alias("first")), "phrases")
-    shared = table.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("n").alias("all")).filter("all > 1")
-    known = table.join(shared, "anchor").select("anchor", "phrase", "n", "first", "kinds")
+    """(rid, marks, edges): for each document the phrases (their numbers and kinds) that may hold duplicate windows, and how many are not wholes."""
+    shared = parsed.select(F.explode("anchors").alias("anchor")).groupBy("anchor").agg(F.count("*").alias("all")).filter("all > 1").select("anchor")
     placed = parsed.select("rid", F.posexplode(F.arrays_zip("anchors", "phrases")).alias("k", "p")).select("rid", "k", F.col("p.anchors").alias("anchor"), F.col("p.phrases").alias("phrase"))
+    placed = staged(placed.join(shared, "anchor"), "occurrences")
+    table = placed.groupBy("anchor", "phrase").agg(F.count("*").alias("n"), F.min("rid").alias("first"))
+    known = table.join(table.groupBy("anchor").agg(F.count("*").alias("kinds")), "anchor")
     kind = F.when(F.col("n") == 1, SOUGHT).when((F.col("kinds") > 1) & (F.col("first") == F.col("rid")), SHOWN).otherwise(WHOLE)
     found = placed.join(known, ["anchor", "phrase"]).select("rid", F.struct(F.col("k").cast("int").alias("k"), kind.cast("int").alias("kind")).alias("mark"))
-    return found.groupBy("rid").agg(F.collect_list("mark").alias("marks"))
+    return found.groupBy("rid").agg(F.collect_list("mark").alias("marks"), F.count_if(F.col("mark.kind") != WHOLE).alias("edges"))
 
 
 WINDOWS = "rid long, at int, sought boolean, w1 long, w2 long"
@@ -227,11 +227,11 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, D
     """(parsed documents with ids ``rid``, their duplicate spans for those that have any)."""
     parsed = staged(parse(docs, window).withColumn("rid", F.monotonically_increasing_id()), "parsed")
     marks = staged(_marks(parsed), "marks")
-    edges = marks.filter(F.exists("marks", lambda m: m["kind"] != WHOLE))
+    edges = marks.filter("edges > 0").select("rid", "marks")
     shown = staged(_windows(parsed.select("rid", "text", "counts").join(edges, "rid"), window), "windows")
     twice = shown.groupBy("w1", "w2").agg(F.count("*").alias("n"), F.bool_or("sought").alias("any")).filter("n > 1 and any").select("w1", "w2")
     found = shown.filter("sought").join(twice, ["w1", "w2"], "left_semi").groupBy("rid").agg(F.collect_list("at").alias("found"))
-    rows = parsed.select("rid", "doc_id", "n_words", "counts").join(marks, "rid").join(found, "rid", "left")
+    rows = parsed.select("rid", "doc_id", "n_words", "counts").join(marks.select("rid", "marks"), "rid").join(found, "rid", "left")
     return parsed, _spans(rows, window).filter("n_removed > 0")
 
 
