@@ -12,6 +12,7 @@ from ..fixtures import SLIM_SQL, SQL
 from ..functions import text as tx
 from ..functions.redact import hits, redact_lean
 from ..operators import listing, merge, retention, search, stats
+from ..session import ship
 from .filters import Filter
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,7 +28,7 @@ def query(sql: str | None = None, slim: bool = True):
 
     def add(f):
         view = fixtures.slim_commands if slim else fixtures.commands
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(view(spark, sf_dir))
+        QUERIES[f.__name__] = lambda spark, sf_dir: ship(spark) or f(view(spark, sf_dir))
         if sql:
             ORACLES[f.__name__] = (SLIM_SQL if slim else SQL) + sql
         return f
@@ -39,7 +40,7 @@ def table_query(table: str, sql: str | None = None):
     """Registers a function of one test table."""
 
     def add(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+        QUERIES[f.__name__] = lambda spark, sf_dir: ship(spark) or f(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
         if sql:
             ORACLES[f.__name__] = sql
         return f
@@ -124,7 +125,7 @@ def _breakdown_sql(dimension: str) -> str:
 
 
 for _d in stats.DIMENSIONS:
-    QUERIES[f"stats_by_{_d}"] = lambda spark, sf_dir, d=_d: stats.breakdown(fixtures.slim_commands(spark, sf_dir), d)
+    QUERIES[f"stats_by_{_d}"] = lambda spark, sf_dir, d=_d: ship(spark) or stats.breakdown(fixtures.slim_commands(spark, sf_dir), d)
     ORACLES[f"stats_by_{_d}"] = SLIM_SQL + _breakdown_sql(_d)
 
 
