@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..session import ship
+
 #: Rows of an Arrow batch; whole texts are carried, so batches are kept short.
 ARROW_ROWS = 1000
 
@@ -38,6 +40,7 @@ def prepare(spark: SparkSession) -> None:
     Short Arrow batches; and Bloom filters of at most 8 MB ahead of a shuffled
     join of texts with the few that are needed, at any size of the tables.
     """
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "1MB")
     spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold", "1TB")
