@@ -178,9 +178,22 @@ def made_pages(count: int, seed: int = SEED) -> list[tuple[str, list[str]]]:
     def word() -> str:
         return "".join(pick(*syllables) for _ in range(int(rng.integers(1, 4))))
 
+    style = "plain"
+
     def sentence(low: int = 3, high: int = 18) -> str:
-        own = " ".join(word() for _ in range(int(rng.integers(low, high))))
-        return own.capitalize() + pick(".", ".", ".", "!", "?")
+        """In the style of the article at hand: not all main text reads well."""
+        own = [word() for _ in range(int(rng.integers(low, high)))]
+        if style == "bars":
+            return " | ".join(own) + pick("", ".", " |")
+        if style == "low":
+            return " ".join(own) + pick("", ".", ",")
+        if style == "loud":
+            return " ".join(w.upper() + "!!" for w in own)
+        if style == "noise":
+            return " ".join(w + pick("***", "%%%", "###", "&amp;") for w in own).replace("&amp;", "+")
+        if style == "same":
+            return " ".join([pick(own[0], f"{rng.integers(999)}.{rng.integers(999)}")] * len(own))
+        return " ".join(own).capitalize() + pick(".", ".", ".", "!", "?")
 
     def prose(most: int = 7) -> str:
         return " ".join(sentence(1) for _ in range(int(rng.integers(1, most))))
@@ -252,7 +265,9 @@ def made_pages(count: int, seed: int = SEED) -> list[tuple[str, list[str]]]:
 
     out = []
     for _ in range(count):
+        style = pick("plain", "plain", "plain", "bars", "low", "loud", "noise", "same")
         inner, main = article()
+        style = "plain"
         shell = pick(
             "<article>{}</article>", "<article>{}</article>", "<article>{}</article>", "<main><article>{}</article></main>", "<main>{}</main>", '<div class="content">{}</div>',
             '<div id="main"><div class="post">{}</div></div>', '<section class="story"><div>{}</div></section>', '<div class="entry-content" itemprop="articleBody">{}</div>', "<div>{}</div>",
