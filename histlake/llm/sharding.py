@@ -142,8 +142,8 @@ def _unsigned(x: int) -> int:
     return x + (1 << 64) if x < 0 else x
 
 
-def heavy_groups(groups: DataFrame, shards: int) -> tuple[list[int], int, int]:
-    """Hashes of the groups that fill a shard alone, largest first; the largest and total size of the rest.
+def heavy_groups(groups: DataFrame, shards: int) -> tuple[list[int], int]:
+    """Hashes of the groups that fill a shard alone, largest first, and the size of the largest other.
 
     A group counts if it has at least the mean load of the shards left without
     the larger ones; there are fewer than ``shards`` such groups.
@@ -155,8 +155,8 @@ def heavy_groups(groups: DataFrame, shards: int) -> tuple[list[int], int, int]:
             break
         taken.append(r["h"])
         rest -= r["size"]
-    left = top[len(taken):]
-    return taken, left[0]["size"] if left else 0, rest
+    left = top[len(taken) :]
+    return taken, left[0]["size"] if left else 0
 
 
 def shard_documents(docs: DataFrame, shards: int = 24) -> DataFrame:
@@ -168,11 +168,12 @@ def shard_documents(docs: DataFrame, shards: int = 24) -> DataFrame:
             (F.octet_length(text) + ROW_COST).cast("long").alias("size"),
             F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
             F.xxhash64(text).alias("h"),
+            F.monotonically_increasing_id().alias("rid"),
         ),
         "shard-slim",
     )
     groups = staged(slim.groupBy("h").agg(F.sum("size").alias("size")), "shard-groups")
-    heavy, largest, _ = heavy_groups(groups, shards)
+    heavy, largest = heavy_groups(groups, shards)
     rest = groups.filter(~F.col("h").isin(heavy)) if heavy else groups
     cuts = minimax_cuts(rest, shards - len(heavy), largest)
 
@@ -192,14 +193,16 @@ def shard_documents(docs: DataFrame, shards: int = 24) -> DataFrame:
 def number_slots(placed: DataFrame) -> DataFrame:
     """Gapless slots from 0 within each shard, without gathering a shard.
 
-    Rows fall into cells by a hash of all their values; a cell's rows are
-    numbered by a window, and its first slot is the count of the cells before
-    it. The number of cells follows the row count.
+    Rows fall into cells by a hash of their stored row number, so equal rows
+    spread as well; a cell's rows are numbered by a window, and its first slot
+    is the count of the cells before it. The number of cells follows the row
+    count.
     """
     cells = max(1, -(-placed.count() // SLOT_ROWS))
-    celled = placed.withColumn("cell", F.pmod(F.xxhash64("doc_id", "h", F.lit(7)), F.lit(cells)).cast("int"))
+    celled = placed.withColumn("cell", F.pmod(F.xxhash64("rid"), F.lit(cells)).cast("int"))
     counts = celled.groupBy("shard", "cell").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     firsts = counts.select("shard", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    own = Window.partitionBy("shard", "cell").orderBy("doc_id", "h")
-    return celled.withColumn("k", F.row_number().over(own)).join(firsts, ["shard", "cell"]).withColumn("slot", (F.col("first") + F.col("k") - 1).cast("long"))
+    own = Window.partitionBy("shard", "cell").orderBy("rid")
+    numbered = celled.withColumn("k", F.row_number().over(own)).join(firsts, ["shard", "cell"])
+    return numbered.withColumn("slot", (F.col("first") + F.col("k") - 1).cast("long"))
