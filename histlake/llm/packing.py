@@ -21,6 +21,7 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +33,9 @@ from .common import map_rows
 END_ID = 1
 MAX_LENGTH = 2048
 #: Words a task keeps the ids of, besides those of the batch at hand; beyond it the table starts anew.
-WORDS_KEPT = 600_000
+WORDS_KEPT = 500_000
 #: Characters of texts taken at once.
-CHARS_AT_ONCE = 4_000_000
+CHARS_AT_ONCE = 2_000_000
 PLAIN_LAST = "\u017f"
 
 
@@ -49,31 +50,59 @@ def _class(kinds: str) -> str:
     return "".join(re.escape(chr(c)) for c in range(ord(PLAIN_LAST) + 1) if unicodedata.category(chr(c))[0] in kinds)
 
 
+@lru_cache(maxsize=1)
+def _vocabulary(path: str):
+    """The vocabulary for words that are normalised and split already, and which of its tokens end a word."""
+    from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+    bare = Tokenizer.from_file(path)
+    bare.normalizer = normalizers.Sequence([])
+    bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    last = np.zeros(bare.get_vocab_size(), dtype=bool)
+    for token, k in bare.get_vocab().items():
+        last[k] = token.endswith("</w>")
+    return bare, last
+
+
 class WordTokenizer:
     """Ids of whole texts, as the tokenizer of the file gives them without special tokens added."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.whole = Tokenizer.from_file(path)
+        self.path = path
+        self.bare, self.last = _vocabulary(path)
         letters, numbers = _class("L"), _class("N")
         space = "\\t-\\r \\x85\\xa0"
         self.split = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{space}{letters}{numbers}]+").findall
-        self.odd = re.compile(f"[^\\x00-{PLAIN_LAST}]|İ|<\\|(?:start|end)oftext\\|>").search
+        self.beyond = re.compile(f"[^\\x00-{PLAIN_LAST}]|İ").search
         self.known: dict[str, bytes] = {}
-        self.last = np.zeros(self.whole.get_vocab_size(), dtype=bool)
-        for token, k in self.whole.get_vocab().items():
-            self.last[k] = token.endswith("</w>")
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+    @cached_property
+    def whole(self):
+        """The tokenizer as it is, for texts that are not plain."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
+    def odd(self, text: str) -> bool:
+        """Whether the text must go through the tokenizer whole."""
+        if "<|" in text and ("<|startoftext|>" in text or "<|endoftext|>" in text):
+            return True
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return self.beyond(text) is not None
+        return False
+
+    @staticmethod
+    def _encode(tokenizer, texts: list[str]) -> list[bytes]:
+        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _words(self, words: list[str]) -> list[bytes]:
         """Ids of each word: they are encoded as one spaced text, which each word's last token divides."""
-        ids = np.frombuffer(self._encode([" ".join(words)])[0], dtype="<u4")
+        ids = np.frombuffer(self._encode(self.bare, [" ".join(words)])[0], dtype="<u4")
         ends = np.flatnonzero(self.last[ids]) + 1
         if len(ends) != len(words):
-            return self._encode(words)
+            return self._encode(self.whole, words)
         data, at = ids.tobytes(), [0, *(4 * ends).tolist()]
         return [data[a:b] for a, b in zip(at, at[1:])]
 
@@ -87,7 +116,7 @@ class WordTokenizer:
             new = list({w for words in split if words for w in words})
         if new:
             known.update(zip(new, self._words(new), strict=True))
-        return [self._encode([t])[0] if words is None else b"".join(map(known.__getitem__, words)) for t, words in zip(texts, split, strict=True)]
+        return [self._encode(self.whole, [t])[0] if words is None else b"".join(map(known.__getitem__, words)) for t, words in zip(texts, split, strict=True)]
 
 
 def binary_lengths(n: int, most: int = MAX_LENGTH) -> list[int]:
