@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, extraction, langid, media, packing, pii, sharding, simhash, substring, toxicity
+from . import decontam, extraction, langid, media, oracles, packing, pii, sharding, simhash, substring, toxicity
 from .common import table
 
 
@@ -46,7 +46,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": _documents(langid.identify),
 }
 
-#: The digests of these queries need word windows, hashes, tokens, models or
-#: archives that SQL lacks or is too slow for on whole tables; tests/llm holds
-#: each against a plain version of its contract.
-ORACLES: dict[str, str] = {}
+#: The other queries need hashes, tokens, positions, models or archives that SQL
+#: lacks; tests/llm holds each against a plain version of its contract.
+ORACLES: dict[str, str] = {"op1_substring_dedup": oracles.SUBSTRING_DEDUP, "op5_decontamination": oracles.DECONTAMINATION}
