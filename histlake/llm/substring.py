@@ -146,10 +146,13 @@ WHOLE, SHOWN, SOUGHT = 1, 2, 3
 def _marks(parsed: DataFrame) -> DataFrame:
     """(rid, marks, edges): for each document the phrases (their numbers and kinds) that may hold duplicate windows, and how many are not wholes."""
     shared = parsed.select(F.explode("anchors").alias("anchor")).groupBy("anchor").agg(F.count("*").alias("all")).filter("all > 1").select("anchor")
+    # Each side of a join on a key that may be hot is a table, so that the join can split the key's rows among tasks.
+    shared = staged(shared, "anchors")
     placed = parsed.select("rid", F.posexplode(F.arrays_zip("anchors", "phrases")).alias("k", "p")).select("rid", "k", F.col("p.anchors").alias("anchor"), F.col("p.phrases").alias("phrase"))
     placed = staged(placed.join(shared, "anchor"), "occurrences")
-    table = placed.groupBy("anchor", "phrase").agg(F.count("*").alias("n"), F.min("rid").alias("first"))
-    known = table.join(table.groupBy("anchor").agg(F.count("*").alias("kinds")), "anchor")
+    table = staged(placed.groupBy("anchor", "phrase").agg(F.count("*").alias("n"), F.min("rid").alias("first")), "phrases")
+    kinds = staged(table.groupBy("anchor").agg(F.count("*").alias("kinds")), "kinds")
+    known = staged(table.join(kinds, "anchor"), "known")
     kind = F.when(F.col("n") == 1, SOUGHT).when((F.col("kinds") > 1) & (F.col("first") == F.col("rid")), SHOWN).otherwise(WHOLE)
     found = placed.join(known, ["anchor", "phrase"]).select("rid", F.struct(F.col("k").cast("int").alias("k"), kind.cast("int").alias("kind")).alias("mark"))
     return found.groupBy("rid").agg(F.collect_list("mark").alias("marks"), F.count_if(F.col("mark.kind") != WHOLE).alias("edges"))
