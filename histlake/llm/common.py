@@ -104,6 +104,11 @@ def own_columns(df: DataFrame) -> list[Column]:
     return [F.col(f"`{c}`") for c in df.columns]
 
 
+def batch_of(**columns: pa.Array) -> pa.RecordBatch:
+    """A record batch of these columns, in this order."""
+    return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+
 def release() -> None:
     """Give a worker's freed memory back: it stays alive, idle, beside others."""
     gc.collect()

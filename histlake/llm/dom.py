@@ -15,7 +15,10 @@ BLOCK = frozenset(
     "blockquote pre figure figcaption form fieldset address details summary dialog hr".split()
 )
 #: What a start tag closes: elements of these names, up to a boundary element.
-CLOSES = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
+CLOSES = {
+    "li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
+    "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
+}
 CLOSES |= {t: ({"p"}, BLOCK - {"p"}) for t in BLOCK - set(CLOSES) - {"html", "body"}}
 
 _TOKEN = re.compile(
@@ -25,6 +28,15 @@ _ATTR = re.compile(r"""([^\s"'=<>/]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"
 _PART = re.compile(r"[a-z0-9]+")
 
 
+#: Attributes whose words tell what an element is for.
+TELLING = frozenset("class id role itemprop aria-label".split())
+
+
+def _tokens(attributes: str) -> frozenset:
+    found = (("".join(v)).lower() for k, *v in _ATTR.findall(attributes) if k.lower() in TELLING)
+    return frozenset(t for v in found for t in _PART.findall(v))
+
+
 @dataclass
 class Node:
     tag: str
@@ -112,9 +124,8 @@ def parse(source: str) -> Page:
         own = open_[-1][1]
         if name in BLOCK and not hidden:
             own = len(nodes)
-            tokens = frozenset(t for k, *v in _ATTR.findall(given) if k.lower() in ("class", "id", "role", "itemprop", "aria-label") for t in _PART.findall("".join(v).lower())) if given.strip() else frozenset()
             up = open_[-1][1]
-            nodes.append(Node(name, up, nodes[up].depth + 1, tokens))
+            nodes.append(Node(name, up, nodes[up].depth + 1, _tokens(given) if given.strip() else frozenset()))
             nodes[up].children.append(own)
             events.append((own, None))
         open_.append((name, own))

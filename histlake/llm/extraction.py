@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import gbt
-from .common import map_rows
+from .common import batch_of, map_rows
 from .dom import Page, parse
 
 TRAIN_PAGES = 700
@@ -317,7 +317,8 @@ def extract(pages: DataFrame) -> DataFrame:
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = extractor.texts(batch.column(2).to_pylist())
-            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
+            sizes = pa.array(list(map(len, texts)), pa.int64())
+            return batch_of(page_id=batch.column(0), url=batch.column(1), text=pa.array(texts, pa.string()), n_chars=sizes)
 
         return step
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, map_rows
+from .common import batch_of, held_out, map_rows
 
 SAMPLE = 12_000
 BITS = 16
@@ -159,9 +159,10 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
                     langs += [lang] * len(held)
                     codes.append(held)
                     counts.append(number[held])
-            if not langs:
-                return pa.RecordBatch.from_arrays([pa.array([], pa.string()), pa.array([], pa.int32()), pa.array([], pa.int64())], names=["lang", "code", "n"])
-            return pa.RecordBatch.from_arrays([pa.array(langs), pa.array(np.concatenate(codes), pa.int32()), pa.array(np.concatenate(counts), pa.int64())], names=["lang", "code", "n"])
+            none = np.zeros(0, dtype=np.int64)
+            return batch_of(
+                lang=pa.array(langs, pa.string()), code=pa.array(np.concatenate([none, *codes]), pa.int32()), n=pa.array(np.concatenate([none, *counts]), pa.int64())
+            )
 
         return step
 
@@ -206,7 +207,7 @@ def label(docs: DataFrame, model: Model) -> DataFrame:
                 new = np.flatnonzero(np.concatenate(([True], np.diff(path) != 0)))
                 size = np.diff(np.concatenate((new, [len(path)])))
                 spans.append([{"start": a, "words": b, "lang": model.languages[c]} for a, b, c in zip(new.tolist(), size.tolist(), path[new].tolist(), strict=True)])
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs), pa.array(shares, pa.float64()), pa.array(spans, pa.list_(_SPAN))], names=["doc_id", "lang_pred", "score", "spans"])
+            return batch_of(doc_id=batch.column(0), lang_pred=pa.array(langs), score=pa.array(shares, pa.float64()), spans=pa.array(spans, pa.list_(_SPAN)))
 
         def scored(texts: Iterator[list[str]]) -> Iterator[tuple[list[str], np.ndarray]]:
             """Each text's words with their scores, computed for about AT_ONCE words at a time."""

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, staged
+from .common import batch_of, map_rows, staged
 
 WINDOW = 35
 SEED = 10
@@ -128,9 +128,13 @@ def parse(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 hashes.append(h)
                 counts.append(c)
                 at.append(at[-1] + len(a))
-            lists = [pa.ListArray.from_arrays(pa.array(at, pa.int32()), x) for x in (_long(np.concatenate(anchors)), _long(np.concatenate(hashes)), pa.array(np.concatenate(counts), pa.int32()))]
-            cols = [batch.column(0), texts, pa.array(n_words, pa.int64()), pa.array(digests), *lists]
-            return pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in PARSED.split(", ")])
+            ends = pa.array(at, pa.int32())
+            return batch_of(
+                doc_id=batch.column(0), text=texts, n_words=pa.array(n_words, pa.int64()), kept_sha256=pa.array(digests),
+                anchors=pa.ListArray.from_arrays(ends, _long(np.concatenate(anchors))),
+                phrases=pa.ListArray.from_arrays(ends, _long(np.concatenate(hashes))),
+                counts=pa.ListArray.from_arrays(ends, pa.array(np.concatenate(counts), pa.int32())),
+            )
 
         return step
 
@@ -148,7 +152,8 @@ def _marks(parsed: DataFrame) -> DataFrame:
     shared = parsed.select(F.explode("anchors").alias("anchor")).groupBy("anchor").agg(F.count("*").alias("all")).filter("all > 1").select("anchor")
     # Each side of a join on a key that may be hot is a table, so that the join can split the key's rows among tasks.
     shared = staged(shared, "anchors")
-    placed = parsed.select("rid", F.posexplode(F.arrays_zip("anchors", "phrases")).alias("k", "p")).select("rid", "k", F.col("p.anchors").alias("anchor"), F.col("p.phrases").alias("phrase"))
+    each = parsed.select("rid", F.posexplode(F.arrays_zip("anchors", "phrases")).alias("k", "p"))
+    placed = each.select("rid", "k", F.col("p.anchors").alias("anchor"), F.col("p.phrases").alias("phrase"))
     placed = staged(placed.join(shared, "anchor"), "occurrences")
     table = staged(placed.groupBy("anchor", "phrase").agg(F.count("*").alias("n"), F.min("rid").alias("first")), "phrases")
     kinds = staged(table.groupBy("anchor").agg(F.count("*").alias("kinds")), "kinds")
@@ -185,7 +190,7 @@ def _windows(marked: DataFrame, window: int) -> DataFrame:
                 for p, x in zip(parts, (np.full(len(at), rid, dtype=np.int64), at, sought, *keys), strict=True):
                     p.append(x)
             rid, at, sought, w1, w2 = (np.concatenate(p) for p in parts)
-            return pa.RecordBatch.from_arrays([pa.array(rid), pa.array(at, pa.int32()), pa.array(sought), _long(w1), _long(w2)], names=[x.split()[0] for x in WINDOWS.split(", ")])
+            return batch_of(rid=pa.array(rid), at=pa.array(at, pa.int32()), sought=pa.array(sought), w1=_long(w1), w2=_long(w2))
 
         return step
 

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, map_rows, staged, text_bytes
+from .common import batch_of, held_out, map_rows, staged, text_bytes
 
 SAMPLE = 16_000
 TERMS = 20_000
@@ -175,7 +175,8 @@ def _lexicon(rows: DataFrame) -> dict[str, float]:
                 own = {t for w in set(_WORD.findall((text or "").lower())) for t in terms(w)}
                 for t in own:
                     seen.setdefault(t, [0, 0])[toxic] += 1
-            return pa.RecordBatch.from_arrays([pa.array(list(seen)), pa.array([v[1] for v in seen.values()], pa.int64()), pa.array([v[0] for v in seen.values()], pa.int64())], names=["term", "toxic", "clean"])
+            toxic, clean = (pa.array([v[k] for v in seen.values()], pa.int64()) for k in (1, 0))
+            return batch_of(term=pa.array(list(seen), pa.string()), toxic=toxic, clean=clean)
 
         return step
 
@@ -183,7 +184,8 @@ def _lexicon(rows: DataFrame) -> dict[str, float]:
     if not totals["toxic"] or totals["toxic"] == totals["n"]:
         return {}
     base = totals["toxic"] / totals["n"]
-    counted = map_rows(rows.select("text", "toxic"), make, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b")).filter(F.col("a") >= SUPPORT)
+    each = map_rows(rows.select("text", "toxic"), make, "term string, toxic long, clean long")
+    counted = each.groupBy("term").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b")).filter(F.col("a") >= SUPPORT)
     n = F.col("a") + F.col("b")
     p = F.col("a") / n
     low = (p + Z * Z / (2 * n) - Z * F.sqrt(p * (1 - p) / n + Z * Z / (4 * n * n))) / (1 + Z * Z / n)
