@@ -532,3 +532,22 @@ def stats_table(c: DataFrame) -> DataFrame:
     from ..sinks import export
 
     return export.stats_table(stats.breakdown(c, "exit", 15))
+
+
+@table_query(
+    "events",
+    "WITH s AS (SELECT 'm' || (user_id % 5) AS machine, 'h' || (user_id % 5) AS host, event_id % 1000 AS bytes, event_id AS seq FROM events), "
+    "k AS (SELECT machine, max(seq) AS last_seq FROM s WHERE machine < 'm3' GROUP BY machine) "
+    "SELECT s.machine, host, count(*) AS segments, CAST(sum(bytes) AS BIGINT) AS bytes, coalesce(max(last_seq), 0) AS last_seq, s.machine = 'm2' AS local "
+    "FROM s LEFT JOIN k ON s.machine = k.machine GROUP BY s.machine, host",
+)
+def sync_status(e: DataFrame) -> DataFrame:
+    n = (F.col("user_id") % 5).cast("string")
+    segments = e.select(F.concat(F.lit("m"), n).alias("machine"), F.concat(F.lit("h"), n).alias("host"), (F.col("event_id") % 1000).alias("bytes"), "event_id")
+    state = segments.filter("machine < 'm3'").groupBy("machine").agg(F.max("event_id").alias("last_seq"))
+    return merge.sync_status(segments.drop("event_id"), state, "m2")
+
+
+@query("SELECT id, cmd FROM commands WHERE machine IS NULL AND id > 100 AND NOT regexp_matches(cmd, '^ls')")
+def export_pending(c: DataFrame) -> DataFrame:
+    return merge.export_rows(c, 100, ["^ls"]).select("id", "cmd")

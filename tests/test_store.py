@@ -147,3 +147,12 @@ def test_segments(spark, commands, tmp_path):
         segments.open_segments(fresh.withColumn("first", F.col("first") + 1), key, state).collect()
     with pytest.raises(Exception, match="(?i)aes|tag|decrypt"):
         segments.open_segments(fresh, bytes(32), state).collect()
+
+
+def test_export_counters(commands):
+    from pyspark.sql import Observation
+
+    seen = Observation()
+    rows = merge.export_rows(commands, 0, ["^ls"], seen).count()
+    local = commands.filter("machine is null")
+    assert seen.get == {"exported": rows, "skipped": local.filter("cmd like 'ls%'").count()}
