@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -30,8 +31,10 @@ def shared_dir(spark: SparkSession) -> str:
     if not folder:
         folder = f"file://{tempfile.mkdtemp(prefix='histlake-')}"
         spark.sparkContext.setCheckpointDir(folder)
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    # A path without a scheme is the cluster's default file system's, not a machine's own.
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    full = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return re.sub(r"^file:/(?!/)", "file:///", full).rstrip("/")
 
 
 def prepare(spark: SparkSession) -> None:
