@@ -205,4 +205,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     first = rooted.groupBy("root").agg(F.min(order).alias("first")).select(F.col("first.doc_id").alias(id_name), F.col("first.row").alias(key_name))
     keyed = docs.withColumn(own_key, row_hash(docs))
     same = F.col("doc_id").eqNullSafe(F.col(id_name)) & (F.col(own_key) == F.col(key_name))
-    return keyed.join(first, same, "left_semi").dropDuplicates(["doc_id", own_key]).select(*own_columns(docs))
+    kept = keyed.join(first, same, "left_semi")
+    # Texts are shuffled a second time only if some row occurs more than once.
+    if not own.groupBy("doc_id", "row").count().filter("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id", own_key])
+    return kept.select(*own_columns(docs))
