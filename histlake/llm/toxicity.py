@@ -147,7 +147,10 @@ def _sampled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
     # About ``sample`` pairs of numbers, whatever the corpus: small enough to broadcast.
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))
     signed = staged(map_rows(rows, _signer, "text string, toxic int, m1 long, m2 long"), "labelled")
-    return signed.dropDuplicates(["m1", "toxic"]).dropDuplicates(["m2", "toxic"])
+    for own, other in (("m1", "m2"), ("m2", "m1")):
+        one = F.min_by(F.struct("text", other), F.xxhash64("text")).alias("one")  # the same one in every run
+        signed = signed.groupBy(own, "toxic").agg(one).select(own, "toxic", "one.text", f"one.{other}")
+    return signed
 
 
 def _signer():
@@ -230,6 +233,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Grammar:
     for own, other in ((half, ~half), (~half, half)):
         part = _lexicon(rows.filter(own))
         found += _featured(rows.filter(other), Grammar(part, [])).collect()
+    found.sort(key=lambda r: (r["toxic"], r["features"]))  # sums are then the same in every run
     x = np.array([r["features"] for r in found]).reshape(-1, len(FEATURES))
     y = np.array([r["toxic"] for r in found], dtype=float)
     return Grammar(insults, _fit(x, y).tolist() if len(y) else [-30.0] + [0.0] * (len(FEATURES) - 1))
