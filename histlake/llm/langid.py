@@ -96,7 +96,7 @@ class Model:
         for codes in found[1:]:
             each += self.table[codes[:-1]]
         out = np.add.reduceat(each, starts, axis=0)
-        script = script_of(words)
+        script = scripts_of(words)
         if not self.scripts[np.bincount(script, minlength=len(_NAMES)) > 0].all():
             allowed = self.scripts[script] | ~self.scripts[script].any(axis=1, keepdims=True)
             out = np.where(allowed, out, np.float32(-1e6))
@@ -108,6 +108,15 @@ def script_of(words: list[str]) -> np.ndarray:
     return _SCRIPT_OF[np.maximum(np.searchsorted(_STARTS, first, side="right") - 1, 0)]
 
 
+def scripts_of(words: list[str]) -> np.ndarray:
+    """``script_of``, without a look at each word where all are of the first script."""
+    try:
+        "".join(words).encode("latin-1")
+    except UnicodeEncodeError:
+        return script_of(words)
+    return np.full(len(words), _SCRIPT_OF[0])
+
+
 def viterbi(scores: np.ndarray, penalty: float = SWITCH) -> np.ndarray:
     """The best label of each word, a switch between neighbours costing ``penalty``.
 
@@ -122,13 +131,27 @@ def viterbi(scores: np.ndarray, penalty: float = SWITCH) -> np.ndarray:
         return np.full(len(scores), best)
     n, m = scores.shape
     back = np.empty((n, m), dtype=np.int32)
-    own, value = list(range(m)), scores[0].tolist()
-    for t, row in enumerate(scores.tolist()):
-        if t:
-            top = max(own, key=value.__getitem__)
-            least = value[top] - penalty
-            back[t] = [j if value[j] >= least else top for j in own]
-            value = [row[j] + (value[j] if value[j] >= least else least) for j in own]
+    own, value, rows = list(range(m)), scores[0].tolist(), scores.tolist()
+    first = scores.argmax(axis=1)
+    starts = np.concatenate(([0], np.flatnonzero(np.diff(first)) + 1, [n]))
+    until = np.repeat(starts[1:], np.diff(starts)).tolist()  # where a run of words of one best language ends
+    first = first.tolist()
+    t = 1
+    while t < n:
+        top = max(own, key=value.__getitem__)
+        least = value[top] - penalty
+        if first[t] == top and all(v < least or j == top for j, v in enumerate(value)):
+            # Every other language is a switch behind, and stays so to the end of the run.
+            end = until[t]
+            back[t:end] = top
+            row = rows[end - 1]
+            value = [row[j] - row[top] - penalty if j != top else 0.0 for j in own]
+            t = end
+            continue
+        row = rows[t]
+        back[t] = [j if value[j] >= least else top for j in own]
+        value = [row[j] + (value[j] if value[j] >= least else least) for j in own]
+        t += 1
     path = np.empty(n, dtype=np.int64)
     path[-1] = max(own, key=value.__getitem__)
     for t in range(n - 1, 0, -1):
