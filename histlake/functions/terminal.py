@@ -20,8 +20,21 @@ _TOKEN = re.compile(
 )
 
 
+# Output without overwriting: text, line ends, tabs, and control sequences of plain parameters.
+_CSI = rb"\x1b\[[0-9;:?]*+[\x40-\x7e]"
+_SIMPLE = re.compile(rb"(?:[^\x00-\x1f\x7f]++|[\n\t]|\r\n|" + _CSI + rb")*+")
+_SEQUENCE = re.compile(_CSI)
+
+
 def strip(data: bytes) -> bytes:
     """Printable text: escapes and controls gone, lines overwritten after a carriage return resolved."""
+    if _SIMPLE.fullmatch(data):
+        return _SEQUENCE.sub(b"", data).replace(b"\r\n", b"\n").replace(b"\t", b" ")
+    return _resolved(data)
+
+
+def _resolved(data: bytes) -> bytes:
+    """``strip``, token by token."""
     lines: list[bytes] = []
     line = bytearray()
     for m in _TOKEN.finditer(data):

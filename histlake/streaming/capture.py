@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -17,12 +17,17 @@ def gap_note(n: int) -> bytes:
 
 @dataclass
 class HeadTail:
-    """At most ``head_cap`` + ``tail_cap`` bytes of all that was written."""
+    """At most ``head_cap`` + ``tail_cap`` bytes of all that was written.
+
+    The tail is a list of what came in, joined and cut once it holds twice its
+    cap, so a byte is copied a constant number of times however small the writes.
+    """
 
     head_cap: int = HEAD_CAP
     tail_cap: int = TAIL_CAP
-    head: bytes = b""
-    tail: bytes = b""
+    head: bytearray = field(default_factory=bytearray)
+    parts: list[bytes] = field(default_factory=list)
+    held: int = 0
     total: int = 0
 
     def write(self, data: bytes) -> None:
@@ -32,14 +37,23 @@ class HeadTail:
             self.head += data[:room]
             data = data[room:]
         if data:
-            self.tail = (self.tail + data)[-self.tail_cap :] if len(data) < self.tail_cap else data[len(data) - self.tail_cap :]
+            self.parts.append(data)
+            self.held += len(data)
+            if self.held > 2 * self.tail_cap:
+                self._cut()
+
+    def _cut(self) -> None:
+        tail = b"".join(self.parts)
+        tail = tail[max(0, len(tail) - self.tail_cap) :]
+        self.parts, self.held = [tail], len(tail)
 
     def truncated(self) -> bool:
-        return self.total > len(self.head) + len(self.tail)
+        return self.total > len(self.head) + min(self.held, self.tail_cap)
 
     def value(self) -> bytes:
-        gap = self.total - len(self.head) - len(self.tail)
-        return self.head + (gap_note(gap) if gap else b"") + self.tail
+        self._cut()
+        gap = self.total - len(self.head) - self.held
+        return bytes(self.head) + (gap_note(gap) if gap else b"") + self.parts[0]
 
 
 def clip_bytes(data: Column, head: int = HEAD_CAP, tail: int = TAIL_CAP) -> Column:

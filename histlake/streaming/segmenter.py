@@ -23,8 +23,9 @@ SEQUENCE_CAP = 1 << 16
 UNKNOWN = "(unknown command)"
 
 _TOKEN = re.compile(
-    rb"(?P<plain>[^\x1b]+)|\x1b\](?P<osc>(?:[^\x07\x1b]|\x1b(?!\\))*)(?:\x07|\x1b\\)|\x1b\[(?P<csi>[^\x40-\x7e]*[\x40-\x7e])|(?P<other>\x1b[^\[\]])", re.S
+    rb"(?P<plain>(?:[^\x1b]++|\x1b\[[0-9;:]{0,1000}+[\x40-\x7e])++)|\x1b\](?P<osc>(?:[^\x07\x1b]|\x1b(?!\\))*)(?:\x07|\x1b\\)|\x1b\[(?P<csi>[^\x40-\x7e]*[\x40-\x7e])|(?P<other>\x1b[^\[\]])", re.S
 )
+# A run of plain bytes holds colours and cursor moves as well: they change no state.
 _EXIT = re.compile(r"\s*(?:exit(?:\s+[0-9]+)?|logout)\s*")
 _USER_VAR = re.compile(r"1337;SetUserVar=([A-Za-z0-9+/]+)=([A-Za-z0-9+/]*=*)")
 _PROG = "1337;SetUserVar=WEZTERM_PROG="

@@ -168,3 +168,10 @@ def test_decoders():
     assert text.osc7_path("file://host/home/x%20y") == "/home/x y"
     assert text.osc7_path("file:///C:/x/y") == "C:\\x\\y"
     assert text.fnv_sequence("") == 0xCBF29CE484222325 & 0x7FFFFFFFFFFFFFFF
+
+
+@settings(max_examples=2000, deadline=None)
+@given(st.lists(st.sampled_from([b"a", b"\r", b"\n", b"\x1b", b"[", b"31", b"m", b"]", b"\x07", b"\\", b"(", b"\t", b"\x08", b"?", b"P"]), max_size=14))
+def test_strip_short_cut_is_exact(parts):
+    data = b"".join(parts)
+    assert terminal.strip(data) == terminal._resolved(data)
