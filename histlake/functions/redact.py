@@ -7,6 +7,9 @@ ignored. Escapes are always stripped before secrets are looked for.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -58,9 +61,21 @@ def hits(text: Column, extra: list[str] | None = None) -> Column:
     return total
 
 
+# What every rule's match holds, as it stands, or in lower case where the rule ignores case.
+CASED = (
+    "PRIVATE KEY", "://", "AKIA", "ASIA", "ABIA", "ACCA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "xox", "sk_", "pk_", "rk_", "sk-", "AIza",
+    "npm_", "pypi-", "glpat-", "dop_v1_", "hf_", "eyJ",
+)
+FOLDED = (
+    "authorization", "passw", "pwd", "secret", "token", "api_key", "api-key", "apikey", "access_key", "access-key", "accesskey", "private_key", "private-key",
+    "privatekey",
+)
+
+
 def redact_lean(text: Column, extra: list[str] | None = None) -> Column:
-    """``redact``, behind one cheap test that clean texts fail, so most rows run no chain."""
-    hint = rf"(?iu)PRIVATE KEY|://|authorization|A[KSBC][IC]A|gh[pousr]_|github_pat_|xox|[spr]k_|sk-|AIza|npm_|pypi-|glpat-|dop_v1_|hf_|eyJ|{_NAMES}"
+    """``redact``, behind a test that clean texts fail: plain substring searches, far cheaper than the chain."""
     if extra:
         return redact(text, extra)
-    return F.when(F.rlike(text, F.lit(hint)), redact(text)).otherwise(text)
+    low = F.translate(F.lower(text), "ſ", "s")
+    hint = reduce(or_, [text.contains(h) for h in CASED] + [low.contains(h) for h in FOLDED])
+    return F.when(hint, redact(text)).otherwise(text)
