@@ -475,7 +475,7 @@ def diff_unified(c: DataFrame) -> DataFrame:
     """Each failed run's output against that of the previous run of its command."""
     from ..functions.diff import unified_diff
 
-    pairs = listing.previous_runs(c).join(c.filter("exit_code <> 0 AND id % 10 < 8").select("id", "plain"), "id")
+    pairs = listing.previous_runs(c).join(c.filter("exit_code <> 0").select("id", "plain"), "id")
     old = c.select(F.col("id").alias("prev_id"), F.col("plain").alias("old"))
     return pairs.join(old, "prev_id").select("id", "prev_id", unified_diff(F.col("old"), F.col("plain")).alias("diff"))
 

@@ -45,3 +45,18 @@ def test_search_filters_reach_the_scan(spark, sf, tmp_path):
     fixtures.commands(spark, sf).write.parquet(path)
     plan = spark.read.parquet(path).filter(search.text_hit("nting"))._jdf.queryExecution().toString()
     assert "StringContains(plain_lc,nting)" in plan or "Contains(plain_lc" in plan
+
+
+def test_every_failed_run_is_diffed(spark, sf):
+    from histlake import fixtures
+
+    rows = fixtures.slim_commands(spark, sf).select("id", "cmd", "started_ms", "exit_code", "machine").collect()
+    want, last = set(), {}
+    for r in sorted(rows, key=lambda r: (r.started_ms, r.id)):
+        if r.exit_code and r.cmd in last:
+            want.add((r.id, last[r.cmd]))
+        if not (r.machine or "").startswith("hist:"):
+            last[r.cmd] = r.id
+    got = [(r.id, r.prev_id) for r in catalog.QUERIES["diff_unified"](spark, sf).select("id", "prev_id").collect()]
+    assert sorted(got) == sorted(want)
+    assert any(i % 10 >= 8 for i, _ in got)
