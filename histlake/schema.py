@@ -21,8 +21,6 @@ ENTRIES = "source STRING, file_pos LONG, seq LONG, cmd STRING, cwd STRING, host
 
 #: Schema version, kept in table properties; versions only add columns.
 VERSION = 1
-#: Searchable text of one command, in characters.
-TEXT_CAP = 256 * 1024
 DAY_MS = 86_400_000
 
 
@@ -51,4 +49,4 @@ def started_day(zone: str | None = None) -> Column:
 
 def with_search_text(commands):
     """Adds ``plain_lc``, the lower-cased copy whose ``contains`` filters reach the Parquet scan."""
-    return commands.withColumn("plain_lc", F.lower(F.substring("plain", 1, TEXT_CAP)))
+    return commands.withColumn("plain_lc", F.lower("plain"))

@@ -60,3 +60,17 @@ def test_every_failed_run_is_diffed(spark, sf):
     got = [(r.id, r.prev_id) for r in catalog.QUERIES["diff_unified"](spark, sf).select("id", "prev_id").collect()]
     assert sorted(got) == sorted(want)
     assert any(i % 10 >= 8 for i, _ in got)
+
+
+def test_search_reads_whole_texts(spark):
+    from histlake.operators import search
+    from histlake.plans.filters import Filter
+    from histlake.schema import with_search_text
+
+    text = "x" * 300_000 + " Needle at the end"
+    schema = "id long, started_ms long, cmd string, plain string, note string"
+    rows = with_search_text(spark.createDataFrame([(1, 10, "ls", text, None), (2, 20, "ls", "short", None)], schema))
+    postings = search.trigrams(rows)
+    assert [(r.id, r.snippet) for r in search.search(rows, "needle").select("id", "snippet").collect()] == [(1, "…xxx \x01Needle\x02 at …")]
+    assert [r.id for r in search.search_ids(rows, "needle").collect()] == [1]
+    assert [r.id for r in search.search_by_trigrams(rows, postings, "needle", Filter()).collect()] == [1]
