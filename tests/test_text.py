@@ -151,6 +151,19 @@ def test_unified():
     assert len(diff.clip("line\n" * 20000, 1000).encode()) < 1100
 
 
+def test_diff_of_long_texts_is_whole(spark):
+    same = [f"kept {k}" for k in range(3000)]
+    a, b = ([x for k, line in enumerate(same) for x in (f"{side} {k} {'x' * 40}", line)] for side in ("old", "new"))
+    ops = diff.script(a, b)  # a distance of 6,000
+    assert [x for k, x in ops if k == " "] == same
+    assert [x for k, x in ops if k != "+"] == a
+    assert [x for k, x in ops if k != "-"] == b
+    rows = spark.createDataFrame([("\n".join(a), "\n".join(b))], "old string, new string")
+    (r,) = rows.select(diff.unified_diff("old", "new").alias("diff")).collect()
+    assert len(r["diff"]) > diff.DIFF_CAP
+    assert r["diff"] == "@@ -1,6000 +1,6000 @@\n" + "".join(f"{k}{x}\n" for k, x in ops)
+
+
 def test_small_functions(spark):
     one = spark.range(1).select(
         text.one_line(F.lit("a\nb"), 80), text.one_line(F.lit("x" * 10), 5), text.fence_length(F.lit("a ```` b")), text.human_bytes(F.lit(1536)), text.human_bytes(F.lit(5)),
