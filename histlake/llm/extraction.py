@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -36,6 +37,8 @@ from .common import batch_of, map_rows
 from .dom import Page, parse
 
 TRAIN_PAGES = 700
+#: Further training pages whose articles have ``LONG`` parts.
+LONG_PAGES, LONG = 40, (64, 400)
 SEED = 20240607
 
 # Tokens of class, id and role that speak for and against main text.
@@ -90,6 +93,13 @@ def describe(page: Page) -> np.ndarray:
         deep[node.parent] = max(deep[node.parent], deep[k] + 1)
         if before[k] >= 0 and (before[node.parent] < 0 or before[k] < before[node.parent]):
             before[node.parent] = before[k]
+    place, same, around = np.zeros(n), np.ones(n), np.zeros(n)  # among siblings: index, number of that tag, characters of both neighbours
+    for node in page.nodes:
+        family = node.children
+        alike = Counter(page.nodes[s].tag for s in family)
+        for i, s in enumerate(family):
+            place[s], same[s] = i, alike[page.nodes[s].tag]
+            around[s] = (chars[family[i - 1]] if i else 0) + (chars[family[i + 1]] if i + 1 < len(family) else 0)
     rows = np.zeros((n, 31))
     inside: list[tuple] = [()] * n
     good, bad = np.zeros(n), np.zeros(n)
@@ -98,15 +108,12 @@ def describe(page: Page) -> np.ndarray:
         g, b = len(node.tokens & FOR), len(node.tokens & AGAINST)
         good[k], bad[k] = g + (0.7 * good[up] if k else 0), b + (0.7 * bad[up] if k else 0)
         inside[k] = tuple(i or node.tag == t for i, t in zip(inside[up] if k else (False,) * len(_INSIDE), _INSIDE, strict=True))
-        family = page.nodes[up].children if k else [0]
-        place = family.index(k) if len(family) < 64 else 32
-        same = sum(page.nodes[s].tag == node.tag for s in family[:64])
-        around = sum(chars[s] for s in family[max(0, place - 1) : place + 2]) - chars[k] if len(family) < 64 else chars[k]
+        family = len(page.nodes[up].children) if k else 1
         w = max(words[k], 1)
         rows[k] = (
             _TAG.get(node.tag, len(TAGS)), node.depth, math.log1p(chars[k]), math.log1p(words[k]), stops[k] / w, chars[k] / w, chars[k] / tags[k],
             math.log1p(own_chars[k]), lines[k], caps[k] / max(lines[k], 1), marks[k], math.log1p(paragraphs[k]), items[k] / tags[k], deep[k],
-            chars[k] / max(total, 1), max(before[k], 0) / max(total, 1), len(family), place / max(len(family), 1), same, math.log1p(around), g, b,
+            chars[k] / max(total, 1), max(before[k], 0) / max(total, 1), family, place[k] / family, same[k], math.log1p(around[k]), g, b,
             good[k], bad[k], min(1.0, linked[k] / max(chars[k], 1)), *inside[k][:6],
         )
     return rows
@@ -169,8 +176,8 @@ class Extractor:
         return out
 
 
-def made_pages(count: int, seed: int = SEED) -> list[tuple[str, list[str]]]:
-    """Pages made by rule, and the blocks of their main text."""
+def made_pages(count: int, seed: int = SEED, size: tuple[int, int] = (1, 12)) -> list[tuple[str, list[str]]]:
+    """Pages made by rule, and the blocks of their main text; ``size`` bounds the parts of an article."""
     rng = np.random.default_rng(seed)
     pick = lambda *x: x[int(rng.integers(len(x)))]
     syllables = ["th", "er", "an", "in", "re", "on", "st", "ou", "le", "de", "que", "ein", "ung", "ció", "os", "ma", "ti", "ble", "ré", "ü"]
@@ -236,7 +243,7 @@ def made_pages(count: int, seed: int = SEED) -> list[tuple[str, list[str]]]:
         if rng.random() < 0.85:
             title = sentence(2, 12)
             add(pick("<h1>{}</h1>", '<h1 class="title">{}</h1>', "<header><h1>{}</h1></header>", "<h2>{}</h2>").format(title), title)
-        for _ in range(int(rng.integers(1, 12))):
+        for _ in range(int(rng.integers(*size))):
             kind, t = rng.random(), prose()
             if kind < 0.6:
                 add(f"<p>{t}</p>", t)
@@ -283,7 +290,7 @@ def made_pages(count: int, seed: int = SEED) -> list[tuple[str, list[str]]]:
 def trained(count: int = TRAIN_PAGES, seed: int = SEED) -> gbt.Trees:
     """The trees, trained on the made pages; a node is main if most of its text is."""
     rows, labels, weights = [], [], []
-    for source, main in made_pages(count, seed):
+    for source, main in made_pages(count, seed) + made_pages(LONG_PAGES, seed + 1, LONG):
         page = parse(source)
         n = len(page.nodes)
         yes, all_ = np.zeros(n), np.zeros(n)

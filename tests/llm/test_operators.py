@@ -417,6 +417,23 @@ def test_extraction_of_made_pages():
     assert sum(f == "\n\n".join(main) for f, (_, main) in zip(found, pages)) / len(pages) > 0.93
 
 
+def test_extraction_sees_all_siblings():
+    texts = [("h2" if k % 10 == 0 else "p", "word " * (k % 7 + 1)) for k in range(300)]
+    page = extraction.parse("<body><article>" + "".join(f"<{t}>{x}</{t}>" for t, x in texts) + "</article></body>")
+    rows = extraction.describe(page)[-300:]
+    sizes = [0, *(len(x.strip()) for _, x in texts), 0]
+    for k, (t, _) in enumerate(texts):
+        assert rows[k][16:19].tolist() == [300, k / 300, 30 if t == "h2" else 270]
+        assert rows[k][19] == np.log1p(sizes[k] + sizes[k + 2])
+
+
+def test_extraction_of_long_made_pages():
+    extractor = extraction.Extractor(extraction.trained())
+    pages = extraction.made_pages(60, seed=78, size=extraction.LONG)
+    found = extractor.texts([p for p, _ in pages])
+    assert sum(f == "\n\n".join(main) for f, (_, main) in zip(found, pages)) / len(pages) > 0.8
+
+
 def test_extraction_of_the_pages_table(spark, sf):
     import html
 
