@@ -14,6 +14,8 @@ BLOCK = frozenset(
     "html body article section main nav aside header footer div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th "
     "blockquote pre figure figcaption form fieldset address details summary dialog hr".split()
 )
+#: Elements that can stand in head; any other start tag ends it, as text does. Of html and head only the first count.
+IN_HEAD = frozenset("html head base basefont bgsound link meta title style script noscript noframes template".split())
 #: What a start tag closes: elements of these names, up to a boundary element.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
@@ -77,7 +79,13 @@ def parse(source: str) -> Page:
                 nodes[own].end = len(nodes)
                 events.append((open_[-1][1] if open_ else 0, None))
 
+    def end_head() -> None:
+        while open_[-1][0] == "head":
+            pop(len(open_) - 1)
+
     def text(a: int, b: int) -> None:
+        if hidden and open_[-1][0] == "head" and source[a:b].strip():
+            end_head()
         if a < b and not hidden:
             events.append((open_[-1][1], html.unescape(source[a:b])))
             if links:
@@ -96,6 +104,8 @@ def parse(source: str) -> Page:
             if k:
                 pop(k)
             continue
+        if hidden and name not in IN_HEAD:
+            end_head()
         if name == "br":
             if not hidden:
                 events.append((open_[-1][1], " "))

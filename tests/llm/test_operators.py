@@ -458,6 +458,18 @@ def test_extraction_of_messy_pages(spark):
     assert extraction.extract(pages.limit(0)).isEmpty()
 
 
+def test_extraction_of_pages_without_an_end_of_head():
+    extractor = extraction.Extractor(extraction.trained())
+    pages = [p for p, _ in extraction.made_pages(60, seed=80)]
+    open_ = [p.replace("</head>", "") for p in pages]
+    assert extractor.texts(open_) == extractor.texts(pages)
+    assert extractor.texts([p.replace("<body>", "") for p in open_]) == extractor.texts([p.replace("<body>", "") for p in pages])
+    texts = lambda s: [t for _, t in extraction.parse(s).events if t and t.strip()]
+    assert texts("<head><meta charset=x> <title>t</title><link rel=x><style>p{}</style>bare text") == ["bare text"]
+    assert texts("<head><head><title>t</title><p>a</head><svg><text>b</text></svg><p>c") == ["a", "c"]
+    assert texts("<head> <script>x</script> </head> <p>a") == ["a"]
+
+
 # 9 -------------------------------------------------------------------------
 
 
