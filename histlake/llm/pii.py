@@ -62,7 +62,9 @@ _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,27}")
+_IBAN = re.compile(
+    r"(?<![A-Za-z0-9])(?:" + "|".join(f"{c}[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for c, n in IBAN_LENGTH.items()) + r")(?![^\W_])"
+)
 _SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 _WORD = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)?")
 _DIGITS = str.maketrans("", "", " -().+")
@@ -92,14 +94,12 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
 
 
 def _added(text: str) -> Iterator[tuple[str, int, int]]:
-    for m in _IBAN.finditer(text):
-        length = IBAN_LENGTH.get(m.group()[:2])
-        own, end = "", m.start()
-        while length and len(own) < length and end < m.end():
-            own += text[end].strip()
-            end += 1
-        if length and len(own) == length and not text[end : end + 1].isalnum() and mod97(own):
-            yield "iban", m.start(), end
+    m = _IBAN.search(text)
+    while m:
+        held = mod97(m.group().replace(" ", ""))
+        if held:
+            yield "iban", m.start(), m.end()
+        m = _IBAN.search(text, m.end() if held else m.start() + 1)
     for m in _SSN.finditer(text):
         yield "ssn", m.start(), m.end()
 

@@ -163,6 +163,14 @@ def plain_pii(text):
     return [(k, a, b) for a, _, k, b in sorted(out)]
 
 
+def test_ibans_side_by_side():
+    one, two = "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32"
+    for text in (f"{one} {two}", f"{two} {one}", f"AB12 {one} XY {two}", f"DE12 {one} {one} {two} A", f"{one},{two}"):
+        want = sorted((m.start(), m.end()) for x in (one, two) for m in re.finditer(x, text))
+        assert [(a, b) for kind, a, b, _ in pii.find(text) if kind == "iban"] == want
+    assert not [s for s in pii.find(f"{one}0 x{two} {two}x") if s[0] == "iban"]
+
+
 def test_pii_spans():
     rng = random.Random(2)
     for _ in range(20_000):
