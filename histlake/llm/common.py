@@ -17,8 +17,8 @@ from pyspark.sql.types import StructType
 
 from ..session import ship
 
-#: Rows of an Arrow batch; whole texts are carried, so batches are kept short.
-ARROW_ROWS = 1000
+#: Rows and bytes of an Arrow batch; whole texts are carried, so batches are kept short.
+ARROW_ROWS, ARROW_BYTES = 1000, 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,6 +45,7 @@ def prepare(spark: SparkSession) -> None:
     """
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "1MB")
     spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold", "1TB")
 

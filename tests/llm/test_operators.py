@@ -78,6 +78,42 @@ def test_substring_dedup(request, which):
     assert any(r.n_removed for r in found)
 
 
+def test_reference_block_factors():
+    """The greedy parse against longest matches by comparison of words."""
+    rng = random.Random(12)
+    for _ in range(60):
+        window = rng.randint(2, 6)
+        phrases = [[rng.choice([b"a", b"b", b"cc"]) for _ in range(rng.randint(window, 2 * window))] for _ in range(rng.randint(1, 12))]
+        block = substring.Block(phrases, window)
+        places = [(k, i) for k, p in enumerate(phrases) for i in range(len(p) - window + 1)]
+
+        def common(a, b):
+            x, y = phrases[a[0]][a[1] :], phrases[b[0]][b[1] :]
+            return next((n for n, (u, v) in enumerate(zip(x, y)) if u != v), min(len(x), len(y)))
+
+        longest = {a: max((common(a, b) for b in places if b != a), default=0) for a in places}
+        match = block.longest()
+        assert {a: match[block.starts[a[0]] + a[1]] for a in places} == longest
+        for k, found in enumerate(block.factors(list(range(len(phrases))))):
+            hit = {i for a, n in found for i in range(a, a + n - window + 1)}
+            assert hit == {i for i in range(len(phrases[k]) - window + 1) if longest[k, i] >= window}
+            assert all(n == longest[k, a] for a, n in found)
+
+
+def test_least_of_runs():
+    rng = np.random.default_rng(2)
+    for n, width in ((1, 1), (30, 7), (100, 26), (26, 26)):
+        values = rng.integers(0, 9, n).astype(np.uint64)
+        assert substring.least(values, width).tolist() == [k + int(values[k : k + width].argmin()) for k in range(n - width + 1)]
+
+
+@pytest.mark.parametrize(("hot", "block"), [(1000, 300), (2, 100_000), (0, 50)])
+def test_substring_dedup_of_hot_anchors_and_small_blocks(spark, monkeypatch, hot, block):
+    monkeypatch.setattr(substring, "HOT", hot)
+    monkeypatch.setattr(substring, "BLOCK_WORDS", block)
+    test_substring_dedup_of_made_passages(spark)
+
+
 def test_substring_dedup_of_made_passages(spark):
     rng = random.Random(1)
     vocabulary = [f"v{k}" for k in range(400)]
