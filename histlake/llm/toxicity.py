@@ -2,18 +2,19 @@
 
 A lexicon transducer reads words and writes classes: insults (learned, with a
 weight each), threats, targets, negations and reports (closed lists of four
-languages). A clause machine reads the classes of one clause; its state is the
-product of three small automata: words left under a negation, whether the
-clause reports someone's speech, and words since a target. On an insult or a
-threat it writes a score to the channel its state names (plain, targeted,
-negated, reported, threat). A document's score is a logistic function of what
-its clauses wrote, so no isolated word decides by itself.
+languages). Three small automata read the classes of a clause: words left under
+a negation, whether the clause reports someone's speech, and words since a
+target. They are composed into one automaton (``compose``), which runs from left
+to right; the target automaton also runs from right to left, for targets still
+to come. Where an insult or a threat is read, the two states name the channel
+that its weight goes to (plain, targeted, negated, reported, threat, or none). A
+document's score is a logistic function of what its clauses wrote, so no
+isolated word decides by itself. Both runs are linear in the clause.
 
 Insults are whole words and word beginnings, weighted by the lower confidence
 bound of how often they occur in toxic texts only. Lexicon and logistic weights
-are learned from about SAMPLE labelled rows of the training fold, chosen by
-hash, or all if there are fewer; the lexicon holds at most TERMS terms, so both
-have a fixed size.
+are learned from at most SAMPLE labelled ids of the training fold, those of the
+least hashes, which bounds the lexicon as well.
 
 Cases: null and empty texts match nothing and get the base score; without any
 toxic training row every score is 0; labels of repeated ids count once, toxic if any is;
@@ -25,6 +26,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,10 +35,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, held_out, map_rows, staged, text_bytes
+from .common import held_out, map_rows, staged, text_bytes
 
 SAMPLE = 16_000
-TERMS = 20_000
 SUPPORT = 3
 LEAST_WEIGHT = 1.5
 PREFIX = range(3, 10)
@@ -64,6 +65,61 @@ def terms(word: str) -> list[str]:
     return [word + "$", *(word[:k] + "*" for k in PREFIX if k <= len(word))]
 
 
+#: The symbols that clause automata read.
+OTHER, INSULT, THREATENS, AIMS, NEGATES, REPORTS = SYMBOLS = range(6)
+
+
+@dataclass
+class Automaton:
+    """A deterministic automaton over SYMBOLS: its states by number, the first one, and the next one by state and symbol."""
+
+    states: list
+    first: int
+    next: list[list[int]]
+
+
+def automaton(first, step: Callable) -> Automaton:
+    """The states that can be reached from ``first`` by ``step(state, symbol)``."""
+    number, states, table = {first: 0}, [first], []
+    for state in states:
+        row = []
+        for symbol in SYMBOLS:
+            after = step(state, symbol)
+            if after not in number:
+                number[after] = len(states)
+                states.append(after)
+            row.append(number[after])
+        table.append(row)
+    return Automaton(states, 0, table)
+
+
+def compose(*parts: Automaton) -> Automaton:
+    """One automaton that runs all parts at once; its states are theirs, side by side."""
+    joint = automaton(tuple(p.first for p in parts), lambda state, symbol: tuple(p.next[s][symbol] for p, s in zip(parts, state, strict=True)))
+    joint.states = [tuple(p.states[s] for p, s in zip(parts, state, strict=True)) for state in joint.states]
+    return joint
+
+
+#: Words that a negation still reaches; whether speech is reported; words since a target, up to beyond its reach.
+NEGATED = automaton(0, lambda left, symbol: NEGATION_REACH if symbol == NEGATES else max(0, left - 1))
+REPORTED = automaton(False, lambda said, symbol: said or symbol == REPORTS)
+SINCE = automaton(TARGET_REACH + 1, lambda since, symbol: 1 if symbol == AIMS else min(since + 1, TARGET_REACH + 1))
+CLAUSE = compose(NEGATED, REPORTED, SINCE)
+
+
+def channel(state: tuple, ahead: int, symbol: int) -> str | None:
+    """The channel that an insult or a threat is written to, by the state of CLAUSE before it and that of SINCE from the right."""
+    negated, reported, since = state
+    aimed = min(since, ahead) <= TARGET_REACH
+    if symbol == THREATENS:
+        return "threat" if aimed and not negated and not reported else None
+    return "negated" if negated else "reported" if reported else "targeted" if aimed else "plain"
+
+
+#: ``channel`` for all states, by symbol.
+WRITES = {x: [[channel(s, t, x) for t in SINCE.states] for s in CLAUSE.states] for x in (INSULT, THREATENS)}
+
+
 @dataclass
 class Grammar:
     """The learned part: weights of insult terms, and of the channels."""
@@ -77,45 +133,37 @@ class Machine:
 
     def __init__(self, grammar: Grammar):
         self.grammar = grammar
-        self.known: dict[str, tuple[str, float] | None] = {}
+        self.known: dict[str, tuple[int, float]] = {}
 
-    def read(self, word: str) -> tuple[str, float] | None:
+    def read(self, word: str) -> tuple[int, float]:
         """The lexicon transducer: a word's class and weight."""
         if word in self.known:
             return self.known[word]
         if len(self.known) > WORDS_KEPT:
             self.known.clear()
-        found = None
-        for name, words in (("negation", NEGATION), ("report", REPORT), ("threat", THREAT), ("target", TARGET)):
-            if word in words:
-                found = name, 1.0
+        found = OTHER, 0.0
         weight = max((self.grammar.insults.get(t, 0.0) for t in terms(word)), default=0.0)
-        if weight > 0 and found is None:
-            found = "insult", weight
+        if weight > 0:
+            found = INSULT, weight
+        for symbol, words in ((NEGATES, NEGATION), (REPORTS, REPORT), (THREATENS, THREAT), (AIMS, TARGET)):
+            if word in words:
+                found = symbol, 1.0
         self.known[word] = found
         return found
 
-    def clause(self, words: list[str], out: dict[str, float]) -> float:
-        """The clause machine; adds to the channels, returns the strongest score written."""
-        negated, reported, since, strongest = 0, False, TARGET_REACH + 1, 0.0
-        later = [k for k, w in enumerate(words) if (c := self.read(w)) and c[0] == "target"]
-        for k, word in enumerate(words):
-            kind, weight = self.read(word) or ("", 0.0)
-            if kind == "negation":
-                negated = NEGATION_REACH + 1
-            elif kind == "report":
-                reported = True
-            elif kind == "target":
-                since = 0
-            elif kind in ("insult", "threat"):
-                aimed = since <= TARGET_REACH or any(0 < t - k <= TARGET_REACH for t in later)
-                if kind == "threat" and aimed and not negated and not reported:
-                    out["threat"] += weight
-                elif kind == "insult":
-                    channel = "negated" if negated else "reported" if reported else "targeted" if aimed else "plain"
-                    out[channel] += weight
-                    strongest = max(strongest, weight if channel in ("plain", "targeted") else weight / 2)
-            negated, since = max(0, negated - 1), since + 1
+    def clause(self, read: list[tuple[int, float]], out: dict[str, float]) -> float:
+        """The clause automata over classes and weights; adds to the channels, returns the strongest score written."""
+        ahead, state = [], SINCE.first
+        for symbol, _ in reversed(read):
+            ahead.append(state)
+            state = SINCE.next[state][symbol]
+        strongest, state = 0.0, CLAUSE.first
+        for (symbol, weight), to_come in zip(read, reversed(ahead), strict=True):
+            if symbol in WRITES and (name := WRITES[symbol][state][to_come]):
+                out[name] += weight
+                if symbol == INSULT:
+                    strongest = max(strongest, weight if name in ("plain", "targeted") else weight / 2)
+            state = CLAUSE.next[state][symbol]
         return strongest
 
     def features(self, text: str) -> list[float]:
@@ -124,11 +172,11 @@ class Machine:
         out = dict.fromkeys(CHANNELS, 0.0)
         strongest = 0.0
         words = _WORD.findall(text)
-        read, loud = self.read, ("insult", "threat")
-        if any(c is not None and c[0] in loud for c in map(read, words)):
+        read, loud = self.read, WRITES.keys()
+        if any(read(w)[0] in loud for w in words):
             for part in _CLAUSE.split(text):
-                own = _WORD.findall(part)
-                if any(c is not None and c[0] in loud for c in map(read, own)):
+                own = [read(w) for w in _WORD.findall(part)]
+                if any(c in loud for c, _ in own):
                     strongest = max(strongest, self.clause(own, out))
         total = out["plain"] + out["targeted"]
         return [1.0, *(math.log1p(v) for v in out.values()), strongest, total / math.log(len(words) + 8)]
@@ -139,12 +187,10 @@ class Machine:
 
 
 def _sampled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
-    """(text, toxic) of about ``sample`` labelled documents, chosen by hash."""
+    """(text, toxic) of at most ``sample`` labelled ids, those of the least hashes; near copies once."""
     known = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    n = known.count()
-    if n > sample:
-        known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < max(1, 1_000_000 * sample // n))
-    # About ``sample`` pairs of numbers, whatever the corpus: small enough to broadcast.
+    # At most ``sample`` pairs of numbers, whatever the corpus: small enough to broadcast.
+    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))
     signed = staged(map_rows(rows, _signer, "text string, toxic int, m1 long, m2 long"), "labelled")
     for own, other in (("m1", "m2"), ("m2", "m1")):
@@ -168,33 +214,36 @@ def _signer():
     return step
 
 
-def _lexicon(rows: DataFrame) -> dict[str, float]:
-    """Weights of the terms that speak for toxic texts."""
+def _lexicons(rows: DataFrame) -> list[dict[str, float]]:
+    """Weights of the terms that speak for toxic texts, by all rows (text, toxic, half), by those of half 0, and of half 1."""
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             seen: dict[str, list[int]] = {}
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for text, toxic, half in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 own = {t for w in set(_WORD.findall((text or "").lower())) for t in terms(w)}
                 for t in own:
-                    seen.setdefault(t, [0, 0])[toxic] += 1
-            toxic, clean = (pa.array([v[k] for v in seen.values()], pa.int64()) for k in (1, 0))
-            return batch_of(term=pa.array(list(seen), pa.string()), toxic=toxic, clean=clean)
+                    seen.setdefault(t, [0, 0, 0, 0])[2 * half + toxic] += 1
+            counts = [pa.array([v[k] for v in seen.values()], pa.int64()) for k in range(4)]
+            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), *counts], names=["term", "clean0", "toxic0", "clean1", "toxic1"])
 
         return step
 
-    totals = rows.agg(F.sum("toxic").alias("toxic"), F.count("*").alias("n")).first()
-    if not totals["toxic"] or totals["toxic"] == totals["n"]:
-        return {}
-    base = totals["toxic"] / totals["n"]
-    each = map_rows(rows.select("text", "toxic"), make, "term string, toxic long, clean long")
-    counted = each.groupBy("term").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b")).filter(F.col("a") >= SUPPORT)
-    n = F.col("a") + F.col("b")
-    p = F.col("a") / n
-    low = (p + Z * Z / (2 * n) - Z * F.sqrt(p * (1 - p) / n + Z * Z / (4 * n * n))) / (1 + Z * Z / n)
-    weight = F.log(low / (1 - low)) - F.lit(math.log(base / (1 - base)))
-    best = counted.select("term", weight.alias("w")).filter(F.col("w") >= LEAST_WEIGHT).orderBy(F.desc("w"), "term").limit(TERMS).collect()
-    return {r["term"]: r["w"] for r in best}
+    totals = {(r["half"], r["toxic"]): r["count"] for r in rows.groupBy("half", "toxic").count().collect()}
+    each = map_rows(rows.select("text", "toxic", "half"), make, "term string, clean0 long, toxic0 long, clean1 long, toxic1 long")
+    counted = each.groupBy("term").agg(*[F.sum(f"{k}{h}").alias(f"{k}{h}") for k in ("clean", "toxic") for h in (0, 1)]).filter(F.expr("toxic0 + toxic1") >= SUPPORT)
+    weights = []
+    for halves in ((0, 1), (0,), (1,)):
+        toxic, clean = (sum(totals.get((h, k), 0) for h in halves) for k in (1, 0))
+        if not toxic or not clean:
+            weights.append(F.lit(0.0))
+            continue
+        a, n = sum(F.col(f"toxic{h}") for h in halves), sum(F.col(f"toxic{h}") + F.col(f"clean{h}") for h in halves)
+        p = a / n
+        low = (p + Z * Z / (2 * n) - Z * F.sqrt(p * (1 - p) / n + Z * Z / (4 * n * n))) / (1 + Z * Z / n)
+        weights.append(F.when(a >= SUPPORT, F.log(low / (1 - low)) - F.lit(math.log(toxic / clean))).otherwise(F.lit(0.0)))
+    found = counted.select("term", F.array(*weights).alias("w")).filter(F.exists("w", lambda w: w >= LEAST_WEIGHT)).collect()
+    return [{r["term"]: r["w"][k] for r in found if r["w"][k] >= LEAST_WEIGHT} for k in range(3)]
 
 
 def _fit(x: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float = 1.0) -> np.ndarray:
@@ -222,36 +271,34 @@ def _fit(x: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float = 1.0) ->
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Grammar:
     """The grammar of the labelled rows among ``docs``."""
-    rows = staged(_sampled(docs, labels, sample), "sampled")
-    half = F.pmod(F.xxhash64("m1"), F.lit(2)) == 0
-    insults = _lexicon(rows)
+    half = F.pmod(F.xxhash64("m1"), F.lit(2)).cast("int")
+    rows = staged(_sampled(docs, labels, sample).select("text", "toxic", half.alias("half")), "sampled")
+    insults, *halves = _lexicons(rows)
     if not insults:
         return Grammar({}, [-30.0] + [0.0] * (len(FEATURES) - 1))
     # Channel weights are fitted on either half under the other half's lexicon,
     # as a lexicon looks better than it is on the rows it was made of.
-    found: list = []
-    for own, other in ((half, ~half), (~half, half)):
-        part = _lexicon(rows.filter(own))
-        found += _featured(rows.filter(other), Grammar(part, [])).collect()
+    found = _featured(rows, [Grammar(h, []) for h in reversed(halves)]).collect()
     found.sort(key=lambda r: (r["toxic"], r["features"]))  # sums are then the same in every run
     x = np.array([r["features"] for r in found]).reshape(-1, len(FEATURES))
     y = np.array([r["toxic"] for r in found], dtype=float)
-    return Grammar(insults, _fit(x, y).tolist() if len(y) else [-30.0] + [0.0] * (len(FEATURES) - 1))
+    return Grammar(insults, _fit(x, y).tolist())
 
 
-def _featured(rows: DataFrame, grammar: Grammar) -> DataFrame:
-    shared = rows.sparkSession.sparkContext.broadcast(grammar)
+def _featured(rows: DataFrame, grammars: list[Grammar]) -> DataFrame:
+    """Whether each row is toxic, and its features under the grammar for its half."""
+    shared = rows.sparkSession.sparkContext.broadcast(grammars)
 
     def make():
-        machine = Machine(shared.value)
+        machines = [Machine(g) for g in shared.value]
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            own = [machine.features(t or "") for t in batch.column(0).to_pylist()]
+            own = [machines[h].features(t or "") for t, h in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             return pa.RecordBatch.from_arrays([batch.column(1), pa.array(own, pa.list_(pa.float64()))], names=["toxic", "features"])
 
         return step
 
-    return map_rows(rows.select("text", "toxic"), make, "toxic int, features array<double>")
+    return map_rows(rows.select("text", "toxic", "half"), make, "toxic int, features array<double>")
 
 
 def score(docs: DataFrame, grammar: Grammar) -> DataFrame:

@@ -147,6 +147,71 @@ def test_toxicity_grammar():
     assert score("not this. you idiot") > 0.5
 
 
+def plain_clause(classes, out):
+    """The clause grammar by looking around each word: a negation in the three words before, a report before, a target within four."""
+    strongest = 0.0
+    for k, (kind, weight) in enumerate(classes):
+        if kind in ("insult", "threat"):
+            negated = any(c == "negation" for c, _ in classes[max(0, k - 3) : k])
+            reported = any(c == "report" for c, _ in classes[:k])
+            aimed = any(c == "target" for c, _ in classes[max(0, k - 4) : k] + classes[k + 1 : k + 5])
+            if kind == "threat":
+                out["threat"] += weight * (aimed and not negated and not reported)
+            else:
+                out["negated" if negated else "reported" if reported else "targeted" if aimed else "plain"] += weight
+                strongest = max(strongest, weight / 2 if negated or reported else weight)
+    return strongest
+
+
+def plain_toxicity(text, grammar):
+    lists = {"negation": toxicity.NEGATION, "report": toxicity.REPORT, "threat": toxicity.THREAT, "target": toxicity.TARGET}
+
+    def read(word):
+        for kind, words in lists.items():
+            if word in words:
+                return kind, 1.0
+        own = [grammar.insults[t] for t in (word + "$", *(word[:k] + "*" for k in range(3, min(9, len(word)) + 1))) if t in grammar.insults]
+        return ("insult", max(own)) if own else ("", 0.0)
+
+    out, strongest = dict.fromkeys(toxicity.CHANNELS, 0.0), 0.0
+    pattern = re.compile(r"[^\W_]+(?:'[^\W_]+)?")
+    text = (text or "").lower()
+    for clause in re.split(r"[.!?;:\n]+", text):
+        strongest = max(strongest, plain_clause([read(w) for w in pattern.findall(clause)], out))
+    x = [1.0, *(np.log1p(v) for v in out.values()), strongest, (out["plain"] + out["targeted"]) / np.log(len(pattern.findall(text)) + 8)]
+    return 1 / (1 + np.exp(-np.clip(np.dot(x, grammar.weights), -30, 30)))
+
+
+def test_composed_clause_automata():
+    names = {"": toxicity.OTHER, "insult": toxicity.INSULT, "threat": toxicity.THREATENS, "target": toxicity.AIMS, "negation": toxicity.NEGATES, "report": toxicity.REPORTS}
+    rng = random.Random(11)
+    machine = toxicity.Machine(toxicity.Grammar({}, []))
+    for _ in range(3000):
+        classes = [(rng.choice(list(names) + [""] * 4), float(rng.randint(1, 3))) for _ in range(rng.randint(0, 20))]
+        want, found = dict.fromkeys(toxicity.CHANNELS, 0.0), dict.fromkeys(toxicity.CHANNELS, 0.0)
+        assert machine.clause([(names[c], w) for c, w in classes], found) == plain_clause(classes, want)
+        assert found == want
+    assert len(set(toxicity.CLAUSE.states)) == len(toxicity.CLAUSE.states) <= 4 * 2 * 5  # those that can be reached
+
+
+def test_toxicity_equals_a_plain_grammar(spark, docs, messy, sf):
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    for table in (docs, messy):
+        grammar = toxicity.train(docs.filter(~held_out(F.col("doc_id"))), labels.filter(~held_out(F.col("doc_id"))))
+        rows = Counter((r.doc_id, round(r.score, 9)) for r in toxicity.score(table, grammar).collect())
+        assert rows == Counter((r.doc_id, round(float(plain_toxicity(r.text, grammar)), 9)) for r in table.collect())
+
+
+def test_toxicity_of_one_long_clause_takes_linear_time():
+    import time
+
+    machine = toxicity.Machine(toxicity.Grammar({"idiot$": 3.0}, [-3.0, 1.0, 1.0, 0.0, 0.0, 1.0, 0.5, 0.5]))
+    text = "idiot " * 100_000 + "you " * 100_000
+    began = time.process_time()
+    assert machine.score(machine.features(text)) > 0.9
+    assert time.process_time() - began < 10
+
+
 def test_toxicity(spark, docs):
     folder = "/root/testdata/sf0.1"
     found = registry.op2_toxicity(spark, folder)
