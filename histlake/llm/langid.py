@@ -1,16 +1,19 @@
 """Language identification of mixed text.
 
-The script of a word (by the code range of its first letter) narrows the
+A word is a letter and the letters and marks that follow it (Unicode categories
+L and M). Its script (by the code range of its first letter) narrows the
 candidates to the languages seen in that script. Words are scored by the
 log-likelihoods of their byte n-grams; Viterbi over a document's words, with a
 penalty for each switch, labels spans. The document's language is that of most
-letters (UTF-8 bytes of words), its score their share.
+letters and marks, its score their share; the spans are returned as well, in
+words from 0.
 
 The model is trained on a bounded sample of the labelled rows of the training
 fold: about SAMPLE rows, chosen by hash, all rows if there are fewer. It has a
-fixed size: 2**BITS n-gram buckets by language.
+fixed size by language: 2**BITS n-gram buckets.
 
-Cases: a null text or one without a letter is ``und`` with score 0; without any
+Cases: a null text or one without a letter (digits, fractions, Roman numeral
+signs and lone marks are none) is ``und`` with score 0 and no spans; without any
 training row every text is; ties go to the first language by name; repeated
 rows are rows of their own; an empty table gives no rows; other columns are
 ignored.
@@ -19,11 +22,13 @@ ignored.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,21 +42,61 @@ SMOOTH = 0.5
 #: Words scored in one go.
 AT_ONCE = 50_000
 
-# Scripts by first code points, ascending; a script holds up to the next one.
-SCRIPTS = (
-    (0x0041, "Latin"), (0x0370, "Greek"), (0x0400, "Cyrillic"), (0x0530, "Armenian"), (0x0590, "Hebrew"), (0x0600, "Arabic"),
-    (0x0900, "Devanagari"), (0x0980, "Indic"), (0x0E00, "Thai"), (0x0E80, "Lao"), (0x10A0, "Georgian"), (0x1100, "Hangul"),
-    (0x1200, "Ethiopic"), (0x1E00, "Latin"), (0x1F00, "Greek"), (0x3040, "Kana"), (0x3100, "Han"), (0xAC00, "Hangul"), (0xD7B0, "Han"),
-)
-_STARTS = np.array([s for s, _ in SCRIPTS])
-_NAMES = sorted({n for _, n in SCRIPTS})
-_SCRIPT_OF = np.array([_NAMES.index(n) for _, n in SCRIPTS])
-_WORD = re.compile(r"[^\W\d_]+")
+# First and last code points of the ranges of each script; any other letter's script is OTHER.
+SCRIPTS = {
+    "Latin": (
+        (0x0041, 0x02FF), (0x1D00, 0x1DBF), (0x1E00, 0x1EFF), (0x2C60, 0x2C7F), (0xA720, 0xA7FF), (0xAB30, 0xAB6F), (0xFB00, 0xFB06), (0xFF21, 0xFF5A),
+    ),
+    "Greek": ((0x0370, 0x03FF), (0x1F00, 0x1FFF)),
+    "Cyrillic": ((0x0400, 0x052F), (0x1C80, 0x1C8F), (0x2DE0, 0x2DFF), (0xA640, 0xA69F)),
+    "Armenian": ((0x0530, 0x058F), (0xFB13, 0xFB17)),
+    "Hebrew": ((0x0590, 0x05FF), (0xFB1D, 0xFB4F)),
+    "Arabic": ((0x0600, 0x06FF), (0x0750, 0x077F), (0x0870, 0x08FF), (0xFB50, 0xFDFF), (0xFE70, 0xFEFE)),
+    "Syriac": ((0x0700, 0x074F),),
+    "Thaana": ((0x0780, 0x07BF),),
+    "Devanagari": ((0x0900, 0x097F), (0xA8E0, 0xA8FF)),
+    "Bengali": ((0x0980, 0x09FF),),
+    "Gurmukhi": ((0x0A00, 0x0A7F),),
+    "Gujarati": ((0x0A80, 0x0AFF),),
+    "Oriya": ((0x0B00, 0x0B7F),),
+    "Tamil": ((0x0B80, 0x0BFF),),
+    "Telugu": ((0x0C00, 0x0C7F),),
+    "Kannada": ((0x0C80, 0x0CFF),),
+    "Malayalam": ((0x0D00, 0x0D7F),),
+    "Sinhala": ((0x0D80, 0x0DFF),),
+    "Thai": ((0x0E00, 0x0E7F),),
+    "Lao": ((0x0E80, 0x0EFF),),
+    "Tibetan": ((0x0F00, 0x0FFF),),
+    "Myanmar": ((0x1000, 0x109F), (0xA9E0, 0xA9FF), (0xAA60, 0xAA7F)),
+    "Georgian": ((0x10A0, 0x10FF), (0x1C90, 0x1CBF), (0x2D00, 0x2D2F)),
+    "Hangul": ((0x1100, 0x11FF), (0x3130, 0x318F), (0xA960, 0xA97F), (0xAC00, 0xD7FF), (0xFFA0, 0xFFDC)),
+    "Ethiopic": ((0x1200, 0x139F), (0x2D80, 0x2DDF), (0xAB00, 0xAB2F)),
+    "Cherokee": ((0x13A0, 0x13FF), (0xAB70, 0xABBF)),
+    "Canadian": ((0x1400, 0x167F), (0x18B0, 0x18FF)),
+    "Khmer": ((0x1780, 0x17FF), (0x19E0, 0x19FF)),
+    "Mongolian": ((0x1800, 0x18AF),),
+    "Kana": ((0x3040, 0x30FF), (0x31F0, 0x31FF), (0xFF66, 0xFF9F), (0x1B000, 0x1B16F)),
+    "Bopomofo": ((0x3100, 0x312F), (0x31A0, 0x31BF)),
+    "Han": ((0x2E80, 0x2FDF), (0x3005, 0x3007), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x323AF)),
+    "Yi": ((0xA000, 0xA4CF),),
+}
+OTHER = "Other"
+_NAMES = sorted([*SCRIPTS, OTHER])
+_RANGES = sorted((a, b, _NAMES.index(name)) for name, own in SCRIPTS.items() for a, b in own)
+_STARTS, _ENDS, _SCRIPT_OF = (np.array(column) for column in zip(*_RANGES, strict=True))
+_LATIN, _OTHER = _NAMES.index("Latin"), _NAMES.index(OTHER)
+
+_WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+#: The same for texts of Latin letters below the first mark and common punctuation, which are most texts here.
+_LETTERS = "".join(re.escape(chr(c)) for c in range(0x300) if unicodedata.category(chr(c))[0] == "L")
+_LATIN_WORD = re.compile(f"[{_LETTERS}]+")
+_BEYOND = re.compile("[^\x00-\u02ff\u2010-\u205e\u20ac]")
 
 
 def split(text: str) -> list[str]:
-    """The runs of letters, in lower case."""
-    return _WORD.findall(text.lower())
+    """The words of a text, in lower case."""
+    text = text.lower()
+    return _WORD.findall(text) if _BEYOND.search(text) else _LATIN_WORD.findall(text)
 
 
 def grams(words: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -104,17 +149,19 @@ class Model:
 
 
 def script_of(words: list[str]) -> np.ndarray:
+    """The number of each word's script, by its first letter."""
     first = np.fromiter((ord(w[0]) for w in words), dtype=np.int64, count=len(words))
-    return _SCRIPT_OF[np.maximum(np.searchsorted(_STARTS, first, side="right") - 1, 0)]
+    at = np.maximum(np.searchsorted(_STARTS, first, side="right") - 1, 0)
+    return np.where((_STARTS[at] <= first) & (first <= _ENDS[at]), _SCRIPT_OF[at], _OTHER)
 
 
 def scripts_of(words: list[str]) -> np.ndarray:
-    """``script_of``, without a look at each word where all are of the first script."""
+    """``script_of``, without a look at each word where all are Latin."""
     try:
         "".join(words).encode("latin-1")
     except UnicodeEncodeError:
         return script_of(words)
-    return np.full(len(words), _SCRIPT_OF[0])
+    return np.full(len(words), _LATIN)
 
 
 def viterbi(scores: np.ndarray, penalty: float = SWITCH) -> np.ndarray:
@@ -189,12 +236,13 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
 
         return step
 
-    counted = map_rows(rows.select("text", "lang"), make, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).collect()
-    languages = sorted({r["lang"] for r in counted})
+    counted = map_rows(rows.select("text", "lang"), make, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow()
+    # At most 2**BITS numbers by language, and no more languages than sampled rows.
+    names = counted.column("lang").combine_chunks().dictionary_encode() if counted.num_rows else pa.array([], pa.string()).dictionary_encode()
+    languages = sorted(names.dictionary.to_pylist())
     counts = np.zeros(((1 << BITS) + len(_NAMES), len(languages)))
-    at = {x: k for k, x in enumerate(languages)}
-    for r in counted:
-        counts[r["code"], at[r["lang"]]] = r["n"]
+    place = np.array([languages.index(x) for x in names.dictionary.to_pylist()], dtype=np.int64)
+    counts[counted.column("code").to_numpy(), place[names.indices.to_numpy()]] = counted.column("n").to_numpy()
     seen, script = counts[: 1 << BITS], counts[1 << BITS :]
     table = np.log((seen + SMOOTH) / (seen.sum(axis=0) + SMOOTH * (1 << BITS))) if languages else seen
     table -= table.mean(axis=1, keepdims=True) if languages else 0
@@ -214,12 +262,13 @@ def label(docs: DataFrame, model: Model) -> DataFrame:
         model = shared.value
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            langs, shares, spans = [], [], []
+            langs, shares = [], []
+            starts, sizes, labels, ends = [], [], [], [0]
             for words, scores in scored(split(t) if t else [] for t in batch.column(1).to_pylist()):
                 if not words or not model.languages:
                     langs.append("und")
                     shares.append(0.0)
-                    spans.append([])
+                    ends.append(ends[-1])
                     continue
                 path = viterbi(scores)
                 letters = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
@@ -228,9 +277,15 @@ def label(docs: DataFrame, model: Model) -> DataFrame:
                 langs.append(model.languages[best])
                 shares.append(float(weight[best] / weight.sum()))
                 new = np.flatnonzero(np.concatenate(([True], np.diff(path) != 0)))
-                size = np.diff(np.concatenate((new, [len(path)])))
-                spans.append([{"start": a, "words": b, "lang": model.languages[c]} for a, b, c in zip(new.tolist(), size.tolist(), path[new].tolist(), strict=True)])
-            return batch_of(doc_id=batch.column(0), lang_pred=pa.array(langs), score=pa.array(shares, pa.float64()), spans=pa.array(spans, pa.list_(_SPAN)))
+                starts.append(new)
+                sizes.append(np.diff(np.concatenate((new, [len(path)]))))
+                labels.append(path[new])
+                ends.append(ends[-1] + len(new))
+            none = np.zeros(0, dtype=np.int64)
+            start, size, own = (pa.array(np.concatenate([none, *x]), pa.int32()) for x in (starts, sizes, labels))
+            lang = pa.array(model.languages, pa.string()).take(own)
+            spans = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([start, size, lang], fields=list(_SPAN)))
+            return batch_of(doc_id=batch.column(0), lang_pred=pa.array(langs), score=pa.array(shares, pa.float64()), spans=spans)
 
         def scored(texts: Iterator[list[str]]) -> Iterator[tuple[list[str], np.ndarray]]:
             """Each text's words with their scores, computed for about AT_ONCE words at a time."""
@@ -260,6 +315,6 @@ def label(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def identify(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, held_out, lang_pred, score. Trained on the rows not held out."""
+    """One row per document: doc_id, held_out, lang_pred, score, spans. Trained on the rows not held out."""
     model = train(docs.filter(~held_out(F.col("doc_id"))))
-    return label(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    return label(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "spans")

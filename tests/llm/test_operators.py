@@ -667,6 +667,88 @@ def test_language_spans(spark):
     assert len(r.spans) <= 6
 
 
+def test_words_are_letters_and_marks():
+    for text in ("½", "²", "①", "Ⅷ", "12 ½ 3²", "\u0301 \u0301", "_ -- 5"):
+        assert langid.split(text) == []
+    assert langid.split("हिन्दी में") == ["हिन्दी", "में"]
+    assert langid.split("Don't x2y É²a – na\u0308h") == ["don", "t", "x", "y", "é", "a", "na\u0308h"]
+    rng = random.Random(4)
+    import unicodedata
+
+    letters = [chr(c) for c in [*range(0x400), 0x2013, 0x20AC, 0x2028, 0x93F, 0x905, 0x6F22, 0x2164]]
+    for _ in range(3000):
+        text = "".join(rng.choice(letters) for _ in range(rng.randint(0, 30)))
+        want, open_ = [], False
+        for c in text.lower():
+            kind = unicodedata.category(c)[0]
+            if kind == "L" and not open_:
+                want.append(c)
+            elif open_ and kind in "LM":
+                want[-1] += c
+            open_ = kind == "L" or open_ and kind == "M"
+        assert langid.split(text) == want
+
+
+def test_scripts_have_closed_ranges():
+    want = {"Ａ": "Latin", "ｱ": "Kana", "々": "Han", "བོ": "Tibetan", "မ": "Myanmar", "ក": "Khmer", "አ": "Ethiopic", "한": "Hangul", "é": "Latin", "я": "Cyrillic", "अ": "Devanagari", "\U0001e900": "Other"}
+    assert [langid._NAMES[k] for k in langid.script_of(list(want))] == list(want.values())
+    assert all(a <= b < c for (a, b, _), (c, _, _) in zip(langid._RANGES, langid._RANGES[1:]))
+    assert (langid.scripts_of(["abc", "é"]) == langid.script_of(["abc", "é"])).all()
+
+
+def plain_scores(words, model):
+    """n-gram scores of each word by itself, byte by byte."""
+    out = []
+    for w in words:
+        padded, row = b" " + w.encode() + b" ", np.zeros(len(model.languages))
+        for n in langid.SIZES:
+            for i in range(min(len(padded) - n, len(padded) - 2) + 1):
+                code = ((int.from_bytes(padded[i : i + n], "big") + n) << 3 | n) * 0x9E3779B97F4A7C15 % (1 << 64) >> 64 - langid.BITS
+                row += model.table[code]
+        names = [k for k in range(len(model.languages)) if model.scripts[langid.script_of([w])[0], k]]
+        out.append([x if not names or k in names else -1e6 for k, x in enumerate(row)])
+    return np.array(out)
+
+
+def plain_path(scores, penalty):
+    value, back = list(scores[0]), []
+    for row in scores[1:]:
+        from_ = [max(range(len(value)), key=lambda j: value[j] - penalty * (j != k)) for k in range(len(value))]
+        value = [value[j] - penalty * (j != k) + row[k] for k, j in enumerate(from_)]
+        back.append(from_)
+    path = [max(range(len(value)), key=value.__getitem__)]
+    for from_ in reversed(back):
+        path.append(from_[path[-1]])
+    return path[::-1]
+
+
+def test_language_equals_a_plain_version(spark, docs, messy):
+    train = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.train(train.filter(~held_out(F.col("doc_id"))))
+    mixed = spark.createDataFrame([(1, "½ ² 5"), (2, "Ⅷ")], "doc_id long, text string")
+    table = docs.filter("n_chars < 4000").select("doc_id", "text").unionByName(messy.filter("doc_id <> 4 or doc_id is null").select("doc_id", "text")).unionByName(mixed)
+    want = Counter()
+    for r in table.collect():
+        words = langid.split(r.text or "")
+        if not words:
+            want[(r.doc_id, "und", 0.0)] += 1
+            continue
+        scores = plain_scores(words, model)
+        assert np.allclose(scores, model.scores(words), atol=1e-3)
+        path, weight = plain_path(scores, langid.SWITCH), Counter()
+        for w, k in zip(words, path):
+            weight[k] += len(w)
+        best = max(sorted(weight), key=weight.__getitem__)
+        want[(r.doc_id, model.languages[best], round(weight[best] / sum(weight.values()), 6))] += 1
+    rows = langid.label(table, model).collect()
+    found = Counter((r.doc_id, r.lang_pred, round(r.score, 6)) for r in rows)
+    assert (want - found).total() <= 0.01 * found.total()  # sums in single precision may break near ties otherwise
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    for r in rows:
+        assert [s.start for s in r.spans] == np.cumsum([0, *(s.words for s in r.spans)])[:-1].tolist()
+        assert r.doc_id not in texts or r.doc_id < 10 or sum(s.words for s in r.spans) == len(langid.split(texts[r.doc_id]))
+
+
 def test_viterbi_short_cut_is_exact():
     rng = np.random.default_rng(1)
     for _ in range(300):
