@@ -1,16 +1,17 @@
 """Main-text extraction from HTML by boosted trees over DOM nodes.
 
 Each block element is described by its text (length, words, punctuation, link
-share, subtree density), its attributes' tokens, its depth, its siblings and
-its ancestors, and scored by gradient-boosted trees. A hierarchical decoding
+share, subtree density), its attributes' tokens (by the log-odds learned for
+each of them), its depth, its siblings and its ancestors, and scored by
+gradient-boosted trees. A hierarchical decoding
 then labels the tree at once: main, boilerplate, or a container left open, at
 the least total cost under which boilerplate has no main descendants. Text
 whose nearest block element is main is kept.
 
 The pages carry no labels, so the trees are trained on pages made here by rule
-from a fixed seed (``made_pages``): articles of varied markup among menus,
-headers, sidebars, notices, adverts, forms, comments and footers, with unclosed
-and unquoted tags.
+from a fixed seed (``made_pages``): articles of varied markup, length and style
+among menus, headers, sidebars, notices, adverts, forms, comments and footers,
+with unclosed and unquoted tags, and bare articles of a few words.
 
 Blocks end where block elements begin or end; white space within one becomes a
 space; a line break counts as white space.
@@ -23,8 +24,10 @@ own; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import math
+import random
 import re
 from collections import Counter
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -39,11 +42,15 @@ from .dom import Page, parse
 TRAIN_PAGES = 700
 #: Further training pages whose articles have ``LONG`` parts.
 LONG_PAGES, LONG = 40, (64, 400)
+#: And pages whose articles have ``SHORT`` parts of a few characters.
+SHORT_PAGES, SHORT = 300, (1, 5)
+#: Nodes with a token from which on it has a weight.
+TOKEN_SUPPORT = 3
 SEED = 20240607
 
-# Tokens of class, id and role that speak for and against main text.
-FOR = frozenset("article articlebody body content contents entry main post prose story text paragraph headline".split())
-AGAINST = frozenset(
+# Tokens of class, id and role that made pages have around main text and around the rest.
+FOR = tuple("article articlebody body content contents entry main post prose story text paragraph headline".split())
+AGAINST = tuple(
     "ad ads advert advertisement banner bar breadcrumb breadcrumbs comment comments consent cookie copyright disqus feedback foot footer form header "
     "login masthead menu meta modal nav navbar navigation newsletter notice popup promo promoted recommend related reply rail search share sharing "
     "sidebar signup skip social sponsor sponsored subscribe tags teaser toolbar widget".split()
@@ -61,8 +68,16 @@ OPEN = frozenset("html body div section main article header".split())
 OPEN_COST = 0.4
 
 
-def describe(page: Page) -> np.ndarray:
-    """A row of features for each node."""
+@dataclass
+class Model:
+    """Log-odds of main text by attribute token, and the trees."""
+
+    tokens: dict[str, float]
+    trees: gbt.Trees
+
+
+def describe(page: Page, tokens: dict[str, float]) -> np.ndarray:
+    """A row of features for each node, by the weights of tokens."""
     n = len(page.nodes)
     chars, words, stops, lines = (np.zeros(n) for _ in range(4))
     caps, marks = np.zeros(n), np.zeros(n)
@@ -105,7 +120,8 @@ def describe(page: Page) -> np.ndarray:
     good, bad = np.zeros(n), np.zeros(n)
     for k, node in enumerate(page.nodes):
         up = node.parent
-        g, b = len(node.tokens & FOR), len(node.tokens & AGAINST)
+        odds = [tokens.get(t, 0.0) for t in node.tokens]
+        g, b = sum(x for x in odds if x > 0), -sum(x for x in odds if x < 0)
         good[k], bad[k] = g + (0.7 * good[up] if k else 0), b + (0.7 * bad[up] if k else 0)
         inside[k] = tuple(i or node.tag == t for i, t in zip(inside[up] if k else (False,) * len(_INSIDE), _INSIDE, strict=True))
         family = len(page.nodes[up].children) if k else 1
@@ -162,13 +178,13 @@ def blocks(page: Page, kept: np.ndarray) -> list[str]:
 class Extractor:
     """The trained trees at work."""
 
-    def __init__(self, trees: gbt.Trees):
-        self.trees = trees
+    def __init__(self, model: Model):
+        self.model = model
 
     def texts(self, sources: list[str | None]) -> list[str]:
         pages = [parse(s or "") for s in sources]
-        rows = [describe(p) for p in pages]
-        odds = self.trees.decide(np.concatenate(rows)) if rows else np.zeros(0)
+        rows = [describe(p, self.model.tokens) for p in pages]
+        odds = self.model.trees.decide(np.concatenate(rows)) if rows else np.zeros(0)
         out, at = [], 0
         for page, own in zip(pages, rows, strict=True):
             out.append("\n\n".join(blocks(page, decode(page, odds[at : at + len(own)]))))
@@ -176,20 +192,22 @@ class Extractor:
         return out
 
 
-def made_pages(count: int, seed: int = SEED, size: tuple[int, int] = (1, 12)) -> list[tuple[str, list[str]]]:
-    """Pages made by rule, and the blocks of their main text; ``size`` bounds the parts of an article."""
-    rng = np.random.default_rng(seed)
-    pick = lambda *x: x[int(rng.integers(len(x)))]
+def made_pages(count: int, seed: int = SEED, size: tuple[int, int] = (1, 12), short: bool = False) -> list[tuple[str, list[str]]]:
+    """Pages made by rule, and the blocks of their main text; ``size`` bounds the parts of an article, which may be of a few characters."""
+    rng = random.Random(seed)
+    pick = lambda *x: x[int(rng.random() * len(x))]
     syllables = ["th", "er", "an", "in", "re", "on", "st", "ou", "le", "de", "que", "ein", "ung", "ció", "os", "ma", "ti", "ble", "ré", "ü"]
 
     def word() -> str:
-        return "".join(pick(*syllables) for _ in range(int(rng.integers(1, 4))))
+        return "".join(pick(*syllables) for _ in range(rng.randrange(1, 4)))
 
     style = "plain"
 
     def sentence(low: int = 3, high: int = 18) -> str:
         """In the style of the article at hand: not all main text reads well."""
-        own = [word() for _ in range(int(rng.integers(low, high)))]
+        if style == "short":
+            return tiny()
+        own = [word() for _ in range(rng.randrange(low, high))]
         if style == "bars":
             return " | ".join(own) + pick("", ".", " |")
         if style == "low":
@@ -199,20 +217,28 @@ def made_pages(count: int, seed: int = SEED, size: tuple[int, int] = (1, 12)) ->
         if style == "noise":
             return " ".join(w + pick("***", "%%%", "###", "&amp;") for w in own).replace("&amp;", "+")
         if style == "same":
-            return " ".join([pick(own[0], f"{rng.integers(999)}.{rng.integers(999)}")] * len(own))
+            return " ".join([pick(own[0], f"{rng.randrange(999)}.{rng.randrange(999)}")] * len(own))
         return " ".join(own).capitalize() + pick(".", ".", ".", "!", "?")
 
+    def tiny() -> str:
+        return pick(word(), word()[:1], word().capitalize() + ".", f"{word()} {word()}", str(rng.randrange(100)))
+
     def prose(most: int = 7) -> str:
-        return " ".join(sentence(1) for _ in range(int(rng.integers(1, most))))
+        if style == "short" or rng.random() < 0.03:
+            return tiny()
+        return " ".join(sentence(1) for _ in range(rng.randrange(1, most)))
 
     def links(k: int, tag: str = "li") -> str:
         return "".join(f'<{tag}><a href="/{word()}">{pick(word(), word().capitalize())}{pick("", "", ",", ".")}</a></{tag}>' for _ in range(k))
 
     def few() -> int:
-        return int(rng.integers(2, 9))
+        return rng.randrange(2, 9)
 
     def boilerplate(where: str) -> str:
         short = pick(sentence(2, 12), prose(3))
+        if rng.random() < 0.25:
+            inner = pick(short, f"<p>{short}</p>", f"<ul>{links(few())}</ul>", f"<h3>{word()}</h3><p>{short}</p>")
+            return f'<{(t := pick("div", "section", "aside"))} {pick("class", "id")}="{pick(*AGAINST)}">{inner}</{t}>'
         if where == "top":
             return pick(
                 f"<nav><ul>{links(few())}</ul></nav>", f'<header><div class="logo">{word()}</div><nav>{links(few(), "span")}</nav></header>',
@@ -243,7 +269,7 @@ def made_pages(count: int, seed: int = SEED, size: tuple[int, int] = (1, 12)) ->
         if rng.random() < 0.85:
             title = sentence(2, 12)
             add(pick("<h1>{}</h1>", '<h1 class="title">{}</h1>', "<header><h1>{}</h1></header>", "<h2>{}</h2>").format(title), title)
-        for _ in range(int(rng.integers(*size))):
+        for _ in range(rng.randrange(*size)):
             kind, t = rng.random(), prose()
             if kind < 0.6:
                 add(f"<p>{t}</p>", t)
@@ -272,14 +298,17 @@ def made_pages(count: int, seed: int = SEED, size: tuple[int, int] = (1, 12)) ->
 
     out = []
     for _ in range(count):
-        style = pick("plain", "plain", "plain", "bars", "low", "loud", "noise", "same")
+        style = "short" if short else pick("plain", "plain", "plain", "bars", "low", "loud", "noise", "same")
         inner, main = article()
         style = "plain"
         shell = pick(
             "<article>{}</article>", "<article>{}</article>", "<article>{}</article>", "<main><article>{}</article></main>", "<main>{}</main>", '<div class="content">{}</div>',
-            '<div id="main"><div class="post">{}</div></div>', '<section class="story"><div>{}</div></section>', '<div class="entry-content" itemprop="articleBody">{}</div>', "<div>{}</div>",
+            f'<div class="{pick(*FOR)}">{{}}</div>', f'<section id="{pick(*FOR)}">{{}}</section>', '<div id="main"><div class="post">{}</div></div>', '<section class="story"><div>{}</div></section>', '<div class="entry-content" itemprop="articleBody">{}</div>', "<div>{}</div>",
         )
-        body = "".join(boilerplate("top") for _ in range(int(rng.integers(0, 4)))) + shell.replace("{}", inner) + "".join(boilerplate("end") for _ in range(int(rng.integers(0, 4))))
+        body = "".join(boilerplate("top") for _ in range(rng.randrange(0, 4))) + shell.replace("{}", inner) + "".join(boilerplate("end") for _ in range(rng.randrange(0, 4)))
+        if short and rng.random() < 0.5:
+            out.append((pick("{}", "<body>{}</body>", "<html><body>{}</body></html>").format(shell.replace("{}", inner)), main))
+            continue
         if rng.random() < 0.3:
             body = f"<div class={pick('wrap', 'page', 'container')}>{body}</div>"
         out.append((f"<!DOCTYPE html><html><head><title>{word()}</title><style>p{{margin:0}}</style></head><body>{body}</body></html>", main))
@@ -287,29 +316,35 @@ def made_pages(count: int, seed: int = SEED, size: tuple[int, int] = (1, 12)) ->
 
 
 @lru_cache(maxsize=2)
-def trained(count: int = TRAIN_PAGES, seed: int = SEED) -> gbt.Trees:
-    """The trees, trained on the made pages; a node is main if most of its text is."""
-    rows, labels, weights = [], [], []
-    for source, main in made_pages(count, seed) + made_pages(LONG_PAGES, seed + 1, LONG):
+def trained(count: int = TRAIN_PAGES, seed: int = SEED) -> Model:
+    """Tokens' weights and trees, trained on the made pages; a node is main if most of its text is."""
+    made = made_pages(count, seed) + made_pages(LONG_PAGES, seed + 1, LONG) + made_pages(SHORT_PAGES, seed + 2, SHORT, short=True)
+    pages, labels, helds = [], [], []
+    seen: tuple[Counter, Counter] = Counter(), Counter()  # tokens by label
+    for source, main in made:
         page = parse(source)
         n = len(page.nodes)
         yes, all_ = np.zeros(n), np.zeros(n)
-        left = list(main)
+        left = Counter(main)
         for own, text in page.events:
             if text and (t := " ".join(text.split())):
-                hit = t in left
-                if hit:
-                    left.remove(t)
+                hit = left[t] > 0
+                left[t] -= hit
                 all_[own] += len(t)
                 yes[own] += hit * len(t)
         for k in range(n - 1, 0, -1):
             all_[page.nodes[k].parent] += all_[k]
             yes[page.nodes[k].parent] += yes[k]
-        held = all_ > 0
-        rows.append(describe(page)[held])
-        labels.append((yes > 0.5 * all_)[held])
-        weights.append(held)
-    return gbt.fit(np.concatenate(rows), np.concatenate(labels).astype(float))
+        label = yes > 0.5 * all_
+        for k in np.flatnonzero(all_):
+            seen[int(label[k])].update(page.nodes[k].tokens)
+        pages.append(page)
+        labels.append(label)
+        helds.append(all_ > 0)
+    other, main_ = seen
+    tokens = {t: math.log((main_[t] + 0.5) / (other[t] + 0.5)) for t in sorted({*other, *main_}) if other[t] + main_[t] >= TOKEN_SUPPORT}
+    rows = np.concatenate([describe(p, tokens)[h] for p, h in zip(pages, helds, strict=True)])
+    return Model(tokens, gbt.fit(rows, np.concatenate([x[h] for x, h in zip(labels, helds, strict=True)]).astype(float)))
 
 
 EXTRACTED = "page_id long, url string, text string, n_chars long"

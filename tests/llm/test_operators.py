@@ -529,7 +529,7 @@ def test_extraction_of_made_pages():
 def test_extraction_sees_all_siblings():
     texts = [("h2" if k % 10 == 0 else "p", "word " * (k % 7 + 1)) for k in range(300)]
     page = extraction.parse("<body><article>" + "".join(f"<{t}>{x}</{t}>" for t, x in texts) + "</article></body>")
-    rows = extraction.describe(page)[-300:]
+    rows = extraction.describe(page, {})[-300:]
     sizes = [0, *(len(x.strip()) for _, x in texts), 0]
     for k, (t, _) in enumerate(texts):
         assert rows[k][16:19].tolist() == [300, k / 300, 30 if t == "h2" else 270]
@@ -557,6 +557,48 @@ def test_extraction_of_the_pages_table(spark, sf):
     assert right / len(found) > 0.95
 
 
+def test_extraction_keeps_short_articles():
+    extractor = extraction.Extractor(extraction.trained())
+    long = "A long paragraph of words here. " * 4
+    pages = {
+        "<article><p>Short.</p></article>": "Short.", f"<article><p>{long}</p><p>b</p></article>": f"{long.strip()}\n\nb", "<article><p>One.</p><p>Two</p><p>b</p></article><footer>x</footer>": "One.\n\nTwo\n\nb",
+        "<html><body><article><h1>T</h1><p>a</p></article></body></html>": "T\n\na", "<p>a<p>b": "a\n\nb",
+    }
+    assert extractor.texts(list(pages)) == list(pages.values())
+    made = extraction.made_pages(100, seed=79, size=extraction.SHORT, short=True)
+    assert sum(f == "\n\n".join(main) for f, (_, main) in zip(extractor.texts([p for p, _ in made]), made)) / len(made) > 0.93
+
+
+def test_extraction_learns_attribute_tokens():
+    tokens = extraction.trained().tokens
+    assert len(tokens) > 40
+    assert all(tokens[t] < 0 for t in ("ad", "comment", "menu", "sidebar"))
+    assert all(tokens[t] > 0 for t in ("post", "content"))
+    plain, told = (extraction.describe(extraction.parse(f"<body><div{a}>words here</div></body>"), tokens)[-1] for a in ("", " class=sidebar"))
+    assert (plain != told).sum() == 2  # the token's own odds, and those inherited
+
+
+@pytest.mark.parametrize("probe", [
+    "<b>" * 50_000 + "<hr>" * 50_000, "<i>x</i>" + "</i>" * 150_000, "<a " * 300_000, "<p><li>" + "<b>" * 50_000 + "<hr>" * 50_000, "<a " + "b" * 500_000 + ">",
+    "<!--" * 200_000, "</script" * 50_000 + "<script>" + "</script" * 50_000, "<" * 500_000, "<a '" * 200_000,
+])
+def test_pages_are_read_in_linear_time(probe):
+    import time
+
+    began = time.process_time()
+    extraction.parse(probe)
+    assert time.process_time() - began < 8
+
+
+def test_comments_and_tags_without_an_end():
+    texts = lambda s: "".join(t for _, t in extraction.parse(s).events if t)
+    assert texts("<p>a<!-- b <p>c") == "a"
+    assert texts("<p>a<!-- b") == "a"
+    assert texts("<p>a<!-- b -->c<b") == "ac<b"
+    assert texts("a < b > c <3") == "a < b > c <3"
+    assert texts("<ul><li>a<ul><li>b</ul><li>c</ul>") == "abc"
+
+
 def test_extraction_of_messy_pages(spark):
     deep = "<div>" * 3000 + "deep" + "</div>" * 3000
     rows = [(1, "u", None), (None, None, ""), (2, "u", "<p>a<p>b"), (2, "u", "<p>a<p>b"), (3, "u", "<<>><p class='x\" ><b>x"), (4, "u", deep), (5, "u", "<!-- open"), (6, "u", "<script>x")]
