@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .decontam import WIDTH
+from .decontam import SPAN, WIDTH
 from .substring import WINDOW
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -32,7 +32,8 @@ FROM w LEFT JOIN n USING (rid) LEFT JOIN kept USING (rid)
 
 _TERMS = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
-#: Every occurrence of an item's window, by joining windows of each length that items have.
+#: Every occurrence of an item's window, by joining windows of each length that items have; and every item with a
+#: window whose terms stand within SPAN words: sought around the window's rarest term, then from each of its terms on.
 DECONTAMINATION = rf"""
 WITH t AS (
     SELECT row_number() OVER () AS rid, doc_id, {_TERMS} AS l FROM documents
@@ -54,8 +55,29 @@ WITH t AS (
     SELECT rid, count(*) AS n_hit FROM pos GROUP BY rid
 ), b AS (
     SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rid, item FROM hit) GROUP BY rid
+), word AS (
+    SELECT rid, unnest(l) AS term, unnest(range(1, len(l) + 1)) AS pos FROM t
+), wt AS (
+    SELECT DISTINCT key, unnest(string_split(key, ' ')) AS term FROM (SELECT DISTINCT key FROM ik)
+), size AS (
+    SELECT key, count(*) AS terms FROM wt GROUP BY key
+), df AS (
+    SELECT term, count(*) AS n FROM word WHERE term IN (SELECT term FROM wt) GROUP BY term
+), rare AS (
+    SELECT key, arg_min(term, coalesce(n, 0)) AS term FROM wt LEFT JOIN df USING (term) GROUP BY key
+), place AS (
+    SELECT key, rid, pos AS p FROM rare JOIN word USING (term)
+), seen AS (
+    SELECT place.key, place.rid, p, word.pos, word.term FROM place JOIN wt USING (key) JOIN word ON word.rid = place.rid AND word.term = wt.term AND abs(word.pos - p) < {SPAN}
+), full_ AS (
+    SELECT key, rid, p FROM seen JOIN size USING (key) GROUP BY key, rid, p, terms HAVING count(DISTINCT term) = terms
+), run AS (
+    SELECT DISTINCT a.key, a.rid FROM full_ f JOIN seen a USING (key, rid, p) JOIN seen b USING (key, rid, p) JOIN size USING (key)
+    WHERE a.pos <= p AND b.pos BETWEEN a.pos AND a.pos + {SPAN - 1} GROUP BY a.key, a.rid, p, a.pos, terms HAVING count(DISTINCT b.term) = terms
+), close AS (
+    SELECT rid, count(DISTINCT item) AS n_near FROM run JOIN ik USING (key) GROUP BY rid
 )
 SELECT doc_id, CAST(len(l) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
-       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(l) AS contaminated
-FROM t LEFT JOIN a USING (rid) LEFT JOIN b USING (rid)
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(l) AS contaminated, coalesce(n_near, 0) AS n_near
+FROM t LEFT JOIN a USING (rid) LEFT JOIN b USING (rid) LEFT JOIN close USING (rid)
 """

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -394,18 +395,28 @@ def plain_contamination(table, items):
         for k in range(max(1, len(w) - 12)) if w else ():
             windows.setdefault(tuple(w[k : k + 13]), set()).add("" if item_id is None else str(item_id))
     sizes = {len(w) for w in windows}
+    bags = {}
+    for w, own in windows.items():
+        bags.setdefault(frozenset(w), set()).update(own)
     out = Counter()
     for r in table:
         w = TERM.findall(lower_ascii(r.text or ""))
-        hit, found = [False] * len(w), set()
+        hit, found, near = [False] * len(w), set(), set()
         for n in sizes:
             for k in range(len(w) - n + 1):
                 if (own := windows.get(tuple(w[k : k + n]))) is not None:
                     found |= own
                     hit[k : k + n] = [True] * n
+        all_ = set(w)
+        runs = None
+        for bag, own in bags.items():
+            if bag <= all_ and not own <= near:
+                runs = runs or {frozenset(w[k : k + 26]) for k in range(max(1, len(w) - 25))}
+                if any(bag <= run for run in runs):
+                    near |= own
         n_hit = sum(hit)
         digest = hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
-        out[(r.doc_id, len(w), n_hit, len(found), digest, n_hit > 0 and 20 * n_hit >= len(w))] += 1
+        out[(r.doc_id, len(w), n_hit, len(found), digest, n_hit > 0 and 20 * n_hit >= len(w), len(near))] += 1
     return out
 
 
@@ -416,7 +427,7 @@ def test_decontamination(request, spark, sf, which, block, monkeypatch):
     table = request.getfixturevalue(which)
     items = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()] + [(901, "One TWO"), (902, None), (None, "gamma delta"), (903, "..."), (901, "One TWO")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    columns = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    columns = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "n_near")
     found = decontam.decontaminate(table, bench).collect()
     assert by_row(found, *columns) == plain_contamination(table.collect(), items)
     kept = decontam.drop_contaminated(table, bench)
@@ -424,17 +435,34 @@ def test_decontamination(request, spark, sf, which, block, monkeypatch):
     assert kept.count() == sum(not r.contaminated for r in found)
 
 
-def test_index_searches():
-    build = decontam._Builder(None)
-    for k, text in enumerate([b"a b c d a b", b"b c", b"", b"a x x x b"]):
+def segment_of(*texts):
+    build = decontam._Builder()
+    for k, text in enumerate(texts):
         build.add(k, 0, text)
-    segment = decontam.Segment(build.row().to_pylist()[0])
+    row = build.row()
+    return decontam.Segment(row, 0, pa.array(sorted({t for x in texts for t in decontam.words(x)}), pa.binary()))
+
+
+def test_index_searches():
+    segment = segment_of(b"a b c d a b", b"b c", b"", b"a x x x b")
     where = lambda at: [(int(d), int(p - segment.starts[d])) for d, p in zip(segment.document(at), at)]
     assert where(segment.phrase((b"a", b"b"))) == [(0, 0), (0, 4)]
     assert where(segment.phrase((b"b", b"c"))) == [(0, 1), (1, 0)]
     assert where(segment.phrase((b"zz",))) == []
-    assert {d for d, _ in where(segment.near((b"a", b"b"), 1))} == {0}
-    assert {d for d, _ in where(segment.near((b"a", b"b"), 4))} == {0, 3}
+    assert segment.near((b"a", b"b"), 2).tolist() == [0]
+    assert segment.near((b"b", b"a", b"a"), 5).tolist() == [0, 3]
+    assert segment.near((b"a", b"zz"), 5).tolist() == []
+    assert segment.near((b"a", b"b"), 5, np.array([0])).tolist() == [3]
+
+
+def test_proximity_equals_all_runs():
+    rng = random.Random(14)
+    texts = [[rng.choice("abcdefgh") for _ in range(rng.randint(0, 40))] for _ in range(40)]
+    segment = segment_of(*(" ".join(t).encode() for t in texts))
+    for _ in range(300):
+        terms, span = [rng.choice("abcdefgh") for _ in range(rng.randint(1, 5))], rng.randint(1, 9)
+        want = [k for k, t in enumerate(texts) if any(set(terms) <= set(t[i : i + span]) for i in range(len(t)))]
+        assert segment.near(tuple(x.encode() for x in terms), span).tolist() == want
 
 
 # 6 -------------------------------------------------------------------------
