@@ -2,7 +2,10 @@
 
 A document of n tokens is cut into the powers of two that sum to n, longest
 first, none over 2048; each piece is a sequence of its own, in the bucket of
-its length, so no sequence crosses documents and none needs padding.
+its length, so no sequence crosses documents and none needs padding. The bucket
+leads the sequence's id: in the order of ids, sequences of equal length stand
+together, as batches want them. ``write_buckets`` stores each bucket's sequences
+in a folder of its own.
 
 Tokens: the ids of a public BPE vocabulary (its path is a parameter) and an end
 id. The vocabulary splits a text into words by a fixed rule and encodes each
@@ -169,10 +172,23 @@ def pieces(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
     return map_rows(docs.select(F.col("doc_id").cast("long"), "text"), make, schema)
 
 
+#: Bits of a sequence's id below its bucket: the task's number and the place within the task.
+ID_BITS = 58
+
+
 def pack(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
     """Every piece with its sequence and its offset there.
 
-    A piece is a whole sequence. Its id is the task's number and the place
-    within the task, the same again if a lost task is run anew over the table.
+    A piece is a whole sequence. Its id is its bucket, the task's number and the
+    place within the task, the same again if a lost task is run anew over the table.
+    """
+    number = F.shiftleft(F.col("bucket").cast("long"), ID_BITS) + F.monotonically_increasing_id()
+    return pieces(docs, path, with_ids).withColumn("sequence_id", number).withColumn("offset", F.lit(0).cast("long"))
+
+
+def write_buckets(docs: DataFrame, path: str, folder: str) -> None:
+    """The sequences with their ids, as Parquet below ``folder/bucket=k`` for length 2**k: a reader of one bucket batches them without padding.
+
+    Nothing is shuffled: a task writes one file for each bucket it has pieces of.
     """
-    return pieces(docs, path, with_ids).withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
+    pack(docs, path, with_ids=True).write.partitionBy("bucket").option("compression", "zstd").parquet(folder)

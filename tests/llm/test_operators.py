@@ -488,13 +488,38 @@ def test_packing(request, which):
     assert found == want
 
 
-def test_packing_counts_rows_not_ids(messy, empty):
+def test_packing_of_messy_rows(messy, empty):
+    """Null ids and repeated rows are documents of their own, each cut whole."""
+    from tokenizers import Tokenizer
+
     path = packing.vocabulary_path()
-    starts = packing.pack(messy, path).filter("start = 0").count()
-    assert starts == messy.count()
+    tokenizer = Tokenizer.from_file(path)
+    want = Counter()
+    for r in messy.collect():
+        ids, at = [*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 1], 0
+        while at < len(ids):
+            size = next(n for n in (2048 >> k for k in range(12)) if n <= len(ids) - at)
+            want[(r.doc_id, at, size, zlib.crc32(np.array(ids[at : at + size], dtype="<u4").tobytes()), len(ids))] += 1
+            at += size
+    rows = packing.pack(messy, path).collect()
+    assert by_row(rows, "doc_id", "start", "length", "ids_crc32", "doc_tokens") == want
+    assert len({r.sequence_id for r in rows}) == len(rows)
+    assert [r.length for r in sorted(rows, key=lambda r: r.sequence_id)] == sorted(r.length for r in rows)
     assert packing.pack(empty, path).isEmpty()
 
 
+def test_packing_into_buckets(spark, docs, tmp_path):
+    path = packing.vocabulary_path()
+    packing.write_buckets(docs, path, f"file://{tmp_path}/b")
+    want = packing.pack(docs, path, with_ids=True).collect()
+    columns = ("doc_id", "start", "length", "ids")
+    found = spark.read.parquet(f"file://{tmp_path}/b")
+    assert by_row(found.collect(), *columns) == by_row(want, *columns)
+    for folder in tmp_path.glob("b/bucket=*"):
+        lengths = {r.length for r in spark.read.parquet(f"file://{folder}").select("length").distinct().collect()}
+        assert lengths == {1 << int(folder.name.split("=")[1])}
+
+
 def test_word_tokenizer_is_exact():
     tokenizer = packing.WordTokenizer(packing.vocabulary_path())
     rng = random.Random(6)
