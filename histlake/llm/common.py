@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 from ..session import ship
 
@@ -24,11 +24,14 @@ ARROW_ROWS, ARROW_BYTES = 1000, 4 << 20
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
-    Where the session names none (tests, local mode) a temporary folder is set
-    once, as the checkpoint folder as well.
+    Where the session names none a temporary folder is set once, as the
+    checkpoint folder as well; this needs a local master, as in tests, since a
+    machine's own folder is not shared on a cluster.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='histlake-')}"
         spark.sparkContext.setCheckpointDir(folder)
     # A path without a scheme is the cluster's default file system's, not a machine's own.
@@ -50,9 +53,14 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold", "1TB")
 
 
+def _own_dir(spark: SparkSession) -> str:
+    """This application's folder below the shared one."""
+    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/histlake"
+
+
 def scratch(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/histlake/{label}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, this application's own."""
+    return f"{_own_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
@@ -70,8 +78,8 @@ def staged(df: DataFrame, label: str) -> DataFrame:
 
 
 def drop_scratch(spark: SparkSession) -> None:
-    """Delete all staged tables and archives of this library; results read from them must be written before."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/histlake")
+    """Delete all staged tables and archives of this application, no other's; results read from them must be written before."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
@@ -105,9 +113,16 @@ def unused(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
+def _holds(kind: DataType, wanted: type) -> bool:
+    """Whether a type is the wanted one or has it inside."""
+    inner = [f.dataType for f in kind.fields] if isinstance(kind, StructType) else [kind.elementType] if isinstance(kind, ArrayType) else []
+    return isinstance(kind, wanted) or any(_holds(k, wanted) for k in inner)
+
+
 def row_hash(df: DataFrame) -> Column:
-    """A hash of all of a row's values."""
-    return F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    """A hash of all of a row's values; maps, which Spark does not hash, count by their JSON."""
+    own = [(F.col(f"`{f.name}`"), _holds(f.dataType, MapType)) for f in df.schema.fields]
+    return F.xxhash64(*[F.to_json(F.struct(c.alias("v"))) if mapped else c for c, mapped in own])
 
 
 def own_columns(df: DataFrame) -> list[Column]:

@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 from .common import staged
 
 
-def _mark(edges: DataFrame) -> tuple[int, int]:
-    r = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").bitwiseAND((1 << 31) - 1)).alias("s")).first()
-    return r["n"], r["s"] or 0
+def _mark(edges: DataFrame) -> tuple:
+    """The number of links and two sums of their 64-bit hashes: equal only for equal tables."""
+    sums = [F.sum(F.xxhash64(*own).cast("decimal(38,0)")) for own in (("u", "v"), ("v", "u"))]
+    return tuple(edges.agg(F.count("*"), *sums).first())
 
 
 def components(links: DataFrame) -> DataFrame:

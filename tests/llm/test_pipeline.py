@@ -2,7 +2,7 @@
 
 import corpus_pipeline
 import pytest
-from test_operators import plain_components, plain_contamination, plain_fingerprint
+from test_operators import docs, empty, messy, plain_components, plain_contamination, plain_fingerprint  # noqa: F401 (fixtures)
 
 from histlake.llm import pii, toxicity
 from histlake.llm.common import held_out
@@ -65,6 +65,37 @@ def test_run_equals_the_stages(ran, spark, sf):
     assert key(corpus_pipeline.run(spark, sf).collect()) == key(ran["packing"][1].collect())
 
 
+def test_run_over_messy_and_empty_tables(spark, sf, messy, empty, tmp_path):
+    """Nulls, empty and long texts, repeated rows, columns with the stages' own names and a map go through all stages."""
+    from pyspark.sql import functions as F
+
+    labels = spark.createDataFrame([(3, 1), (3, 0), (None, 1), (4, 0), (99, None)], "doc_id long, toxic int")
+    passage = " ".join(f"w{k}" for k in range(20))
+    bench = spark.createDataFrame([(901, passage), (902, None), (None, "gamma zeta")], "item_id long, text string")
+    for name, docs in (("messy", messy.withColumn("m", F.create_map(F.lit("k"), F.col("doc_id")))), ("empty", empty)):
+        folder = f"file://{tmp_path}/{name}"
+        for label, table in (("documents", docs), ("labels", labels), ("benchmark", bench)):
+            table.write.parquet(f"{folder}/{label}.parquet")
+        now = spark.read.parquet(f"{folder}/documents.parquet")
+        for stage, function in corpus_pipeline.STAGES[:-1]:
+            now = function(spark, now, folder)
+            assert now.columns == docs.columns, stage
+        left = sorted((r.doc_id or -1, r.text or "") for r in now.collect())
+        rows = corpus_pipeline.run(spark, folder).collect()
+        if name == "empty":
+            assert left == [] == rows
+            continue
+        # One row of each group of like fingerprints stays; of those, the ones with the benchmark's passage go.
+        given = [(r.doc_id, r.text) for r in docs.collect()]
+        label = plain_components([plain_fingerprint(t) for _, t in given])
+        kept = {}
+        for (d, t), k in zip(given, label):
+            kept[k] = min(kept.get(k, (True, 0, "")), (d is None, d or -1, t or ""))
+        assert left == sorted((d, t) for _, d, t in kept.values() if passage not in t)
+        assert sum(r.start == 0 for r in rows) == len(left)
+        assert sorted({(r.doc_id or -1) for r in rows}) == sorted({d for d, _ in left})
+
+
 def test_registered():
     import __spark_entry__
 
