@@ -3,6 +3,14 @@
 Each stage is (name, function); a function takes (spark, docs, sf_dir) and
 returns a DataFrame, which ``run`` writes to the shared folder and reads again
 as the next stage's docs. All but the last return the columns of documents.
+
+Cases: a null or empty text is a document without words (its score is the base
+score, all of them are one group of near copies, it is never contaminated, and
+its only token is the end id); of rows equal in everything one stays after
+near-dedup; rows of a null id are rows of their own and stay only where their
+group has no id; further columns, maps and names that clash with a stage's own
+included, are kept as they are; empty tables give empty tables; without labels
+nothing is toxic, and without benchmark items nothing is contaminated.
 """
 
 from __future__ import annotations
