@@ -59,17 +59,18 @@ def _subcommand(words: list[str]) -> str:
 def command_head(cmd: Column) -> Column:
     """``head_of`` as an expression.
 
-    Plain lines, a first word free of anything special that is no wrapper and no
-    tool, stay in the JVM; only the rest go through Python, once per batch of
-    distinct lines.
+    A line that begins with a word free of anything special which is no wrapper
+    and no tool goes by that word, in the JVM; the rest go through Python.
     """
-    return _head_udf(cmd)
+    first = F.regexp_extract(cmd, r"^([A-Za-z0-9_][A-Za-z0-9_.+-]*)(?:[ \t][^\n]*)?(?:\n|$)", 1)
+    plain = (first != "") & ~first.isin(*sorted(WRAPPERS | TOOLS))
+    return F.when(plain, first).otherwise(_head_udf(F.when(~plain, cmd)))
 
 
 @F.pandas_udf(T.StringType())
 def _head_udf(cmd: pd.Series) -> pd.Series:
-    known: dict[str, str] = {}
-    return cmd.map(lambda c: None if c is None else known.get(c) or known.setdefault(c, head_of(c)))
+    known = {c: head_of(c) for c in cmd.dropna().unique()}
+    return pd.Series([known.get(c) for c in cmd], dtype=object)
 
 
 def shell_exit(cmd: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.filters import Filter
 from ..schema import duration_ms
-
+from .running import time_block
 
 
 def newest() -> list[Column]:
@@ -59,10 +59,10 @@ def previous_runs(commands: DataFrame, block_ms: int = 86_400_000) -> DataFrame:
     """(id, prev_id) for every row: a strict as-of self join, without a join of rows.
 
     A command may hold any share of all rows, so its rows are cut into blocks of
-    time: within a block a window looks back; a block's first rows take the last
+    time, or of ids where the time is unknown: within a block a window looks back; a block's first rows take the last
     recorded row of the blocks before, from a table of one row per block.
     """
-    slim = commands.select("id", "cmd", "started_ms", recorded().alias("own")).withColumn("block", F.floor(F.col("started_ms") / block_ms))
+    slim = commands.select("id", "cmd", "started_ms", recorded().alias("own")).withColumn("block", time_block(block_ms))
     within = Window.partitionBy("cmd", "block").orderBy("started_ms", "id").rowsBetween(Window.unboundedPreceding, -1)
     near = slim.withColumn("near", F.last(F.when(F.col("own"), F.col("id")), ignorenulls=True).over(within))
     lasts = slim.filter("own").groupBy("cmd", "block").agg(F.max(F.struct("started_ms", "id")).getField("id").alias("last"))

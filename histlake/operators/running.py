@@ -25,3 +25,13 @@ def with_rank(df: DataFrame, key: str, name: str, width: int = 4096) -> DataFram
     """Adds ``name``: the number of rows before this one by an integer key, from 0."""
     ranked = with_running(df, F.floor(F.col(key) / width), [F.col(key)], F.lit(1).cast("long"), name)
     return ranked.withColumn(name, F.col(name) - 1)
+
+
+def time_block(width_ms: int, ids: int = 65_536) -> Column:
+    """Ordered buckets of rows by start and id: spans of time, and before them runs of ids where the time is unknown.
+
+    Bulk imports leave any number of rows at time 0, which no task should hold at once.
+    """
+    known = F.col("started_ms") > 0
+    part = F.when(known, F.floor(F.col("started_ms") / width_ms)).otherwise(F.floor(F.col("id") / ids))
+    return F.struct(known.alias("known"), part.alias("part"))

@@ -44,10 +44,12 @@ def breakdown(commands: DataFrame, dimension: str, top: int = 0, zone: str | Non
     newest first, imported last; all else by count, then key.
     """
     spent = duration_ms()
-    groups = commands.groupBy(group_key(dimension, zone).alias("key")).agg(
-        F.count("*").alias("count"), F.count_if(failed()).alias("fails"),
-        F.coalesce(F.sum(F.when(spent > 0, spent)), F.lit(0)).alias("dur_ms"),
-    )
+    totals = [F.count("*").alias("count"), F.count_if(failed()).alias("fails"), F.coalesce(F.sum(F.when(spent > 0, spent)), F.lit(0)).alias("dur_ms")]
+    if dimension == "cmd":  # heads are made of distinct commands only
+        each = commands.groupBy("cmd").agg(*totals)
+        groups = each.groupBy(group_key("cmd").alias("key")).agg(*[F.sum(c).alias(c) for c in ("count", "fails", "dur_ms")])
+    else:
+        groups = commands.groupBy(group_key(dimension, zone).alias("key")).agg(*totals)
     groups = groups.withColumn("fail_pct", F.expr("(fails * 100 + count div 2) div count"))
     if dimension == "day":
         return groups.orderBy(F.desc("key")).limit(top).orderBy("key") if top else groups.orderBy("key")

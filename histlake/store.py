@@ -5,15 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.redact import hits, redact
 from .operators import retention
 from .schema import COMMANDS, VERSION, started_day, with_search_text
 
 
 class Store:
-    """A folder: ``commands`` partitioned by day and sorted by time in files, and ``mutations``, an append-only log."""
+    """A folder: ``commands`` partitioned by day and sorted by time in files, ``mutations``, an append-only log, and ``version``."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
+        for table in ("commands", "mutations"):
+            retention.finish_rewrite(spark, f"{self.path}/{table}")
+        if self.version() > VERSION:
+            raise ValueError(f"the store is of version {self.version()}, this library of {VERSION}")
+
+    def version(self) -> int:
+        """The schema version the store was last written with, 0 for one without rows."""
+        try:
+            return self.spark.read.schema("version int").json(f"{self.path}/version").first()["version"]
+        except Exception as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            return 0
 
     def append(self, commands: DataFrame) -> None:
         """Add rows; missing columns read as null, derived ones are computed."""
@@ -21,7 +35,10 @@ class Store:
         own = with_search_text(commands.withColumn("plain", F.coalesce("plain", F.lit(""))))
         rows = own.select(*[(F.col(c) if c in own.columns else F.lit(None)).cast(k).alias(c) for c, k in kinds.items()])
         day = rows.withColumn("started_day", F.regexp_replace(started_day(), "unknown", "1970-01-01"))
-        out = day.repartition("started_day").sortWithinPartitions("started_day", "started_ms", "id")
+        if self.version() != VERSION:
+            self.spark.createDataFrame([(VERSION,)], "version int").coalesce(1).write.mode("overwrite").json(f"{self.path}/version")
+        # A day, and above all the day of unknown times, may hold any share of the rows: large ones are split.
+        out = day.hint("rebalance", "started_day").sortWithinPartitions("started_day", "started_ms", "id")
         out.write.mode("append").option("compression", "zstd").partitionBy("started_day").parquet(f"{self.path}/commands")
 
     def raw(self) -> DataFrame:
@@ -44,25 +61,31 @@ class Store:
         """Delete a row; an unknown id is no error."""
         self.mutate(self.spark.createDataFrame([(ident, at, "delete", None)], "id long, at long, kind string, note string"))
 
+    def _mutated(self) -> bool:
+        kind, files = retention._files(self.spark, self.path)
+        return files.exists(kind(f"{self.path}/mutations"))
+
     def commands(self) -> DataFrame:
         """The rows as they stand: mutations applied."""
-        try:
-            log = self.mutations()
-            log.schema  # noqa: B018
-        except Exception as e:  # no mutation yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            return self.raw()
-        return retention.apply_mutations(self.raw(), log)
+        return retention.apply_mutations(self.raw(), self.mutations()) if self._mutated() else self.raw()
 
     def redact(self, extra: list[str] | None = None) -> int:
-        """Mask secrets in the files themselves, day by day; the number of rows changed."""
+        """Mask secrets in the files themselves, raw output and the notes of the mutation log included; the number of rows changed."""
         hit = retention.redaction_hits(self.raw(), extra).join(self.raw().select("id", "started_day"), "id")
         days = hit.groupBy("started_day").count().collect()  # one row per day touched
         if days:
             change = lambda rows: with_search_text(retention.redacted(rows, extra))
             retention.rewrite_days(self.spark, f"{self.path}/commands", [d["started_day"] for d in days], change)
-        return sum(d["count"] for d in days)
+        return sum(d["count"] for d in days) + self._redact_log(extra)
+
+    def _redact_log(self, extra: list[str] | None) -> int:
+        if not self._mutated():
+            return 0
+        log = self.mutations()
+        changed = log.filter(hits(F.coalesce("note", F.lit("")), extra) > 0).count()
+        if changed:
+            retention.rewrite_table(self.spark, f"{self.path}/mutations", lambda rows: rows.withColumn("note", redact(F.col("note"), extra)))
+        return changed
 
 
 def migrated(rows: DataFrame, version: int) -> DataFrame:

@@ -75,6 +75,91 @@ def test_rewrite_removes_the_secret(spark, tmp_path):
     assert spark.read.parquet(path).count() == 2
 
 
+def test_rewrite_drops_emptied_days_and_finishes_a_cut_swap(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.createDataFrame([(1, "a", "d1"), (2, "b", "d2"), (3, "c", "d3")], "id long, cmd string, started_day string").write.partitionBy("started_day").parquet(path)
+    retention.rewrite_days(spark, path, ["d1", "d2"], lambda rows: rows.filter("id <> 1"))
+    assert [r.id for r in spark.read.parquet(path).orderBy("id").collect()] == [2, 3]
+    assert not (tmp_path / "t" / "started_day=d1").exists()
+    assert not (tmp_path / "t__rewrite").exists()
+    # A rewrite that broke off between the delete and the rename of a day, and one before its rows were all written.
+    side = tmp_path / "t__rewrite"
+    spark.read.parquet(path).filter("id = 2").write.partitionBy("started_day").parquet(str(side / "rows"))
+    spark.createDataFrame([("d2", True), ("d3", False)], "day string, kept boolean").coalesce(1).write.json(str(side / "days"))
+    import shutil
+
+    shutil.rmtree(tmp_path / "t" / "started_day=d2")
+    retention.finish_rewrite(spark, path)
+    assert [r.id for r in spark.read.parquet(path).collect()] == [2]
+    spark.range(1).write.parquet(str(side / "rows"))
+    retention.finish_rewrite(spark, path)
+    assert not side.exists()
+    assert [r.id for r in spark.read.parquet(path).collect()] == [2]
+
+
+def test_redaction_reaches_raw_output_notes_and_the_log(spark, tmp_path):
+    from histlake.store import Store
+
+    store = Store(spark, str(tmp_path / "s"))
+    day = 1_704_844_800_000
+    rows = [
+        (1, "fine", day, b"\x1b[1mpassword=\x1b[0mhunter2abc", "", None), (2, "curl", day, b"ok \x1b[1mbold\x1b[0m", "ok bold", "password=hunter2note"),
+        (3, "ls", 0, b"plain", "plain", None),
+    ]
+    store.append(spark.createDataFrame(rows, "id long, cmd string, started_ms long, output binary, plain string, note string"))
+    store.set_note(3, "password=hunter2log", 5)
+    assert store.redact() == 3
+    files = [p for p in (tmp_path / "s").rglob("*") if p.is_file()]
+    assert files
+    whole = [tuple(r) for r in spark.read.parquet(str(tmp_path / "s" / "commands")).collect()] + [tuple(r) for r in store.mutations().collect()]
+    assert "hunter2" not in repr(whole)
+    assert not any(b"hunter2" in p.read_bytes() for p in files)
+    found = {r.id: r for r in store.commands().collect()}
+    assert bytes(found[2].output) == b"ok \x1b[1mbold\x1b[0m"
+    assert found[1].output is not None and len(found) == 3
+    assert found[3].note and "password" in found[3].note
+    assert store.redact() == 0
+
+
+def test_store_version(spark, tmp_path):
+    from histlake import schema
+    from histlake.store import Store
+
+    store = Store(spark, str(tmp_path / "v"))
+    assert store.version() == 0
+    store.append(spark.createDataFrame([(1, "a", 0, "")], "id long, cmd string, started_ms long, plain string"))
+    assert Store(spark, str(tmp_path / "v")).version() == schema.VERSION
+    spark.createDataFrame([(schema.VERSION + 1,)], "version int").write.mode("overwrite").json(str(tmp_path / "v" / "version"))
+    with pytest.raises(ValueError, match="version"):
+        Store(spark, str(tmp_path / "v"))
+
+
+def test_rows_of_unknown_time_are_cut_by_id(spark):
+    rows = [(k, f"c{k % 3}", 0 if k % 2 else k * 40_000_000, None, 10, "", 1) for k in range(400)]
+    table = spark.createDataFrame(rows, "id long, cmd string, started_ms long, machine string, output_bytes long, plain string, exit_code int")
+    from histlake.operators import listing, running
+
+    blocks = table.select(running.time_block(86_400_000, 50).alias("b"), "started_ms").filter("started_ms = 0").groupBy("b").count().collect()
+    assert len(blocks) == 8
+    order = sorted(rows, key=lambda r: (r[2], r[0]))
+    last, want, total, sums = {}, {}, 0, {}
+    for r in order:
+        want[r[0]] = last.get(r[1])
+        last[r[1]] = r[0]
+        total += 10 + 0 + len(r[1]) + retention.ROW_COST
+        sums[r[0]] = total
+    assert {r.id: r.prev_id for r in listing.previous_runs(table).collect()} == want
+    assert {r.id: r.running for r in retention.prune_plan(table, 10**9).collect()} == sums
+
+
+def test_heads_in_the_jvm_equal_those_in_python(spark):
+    from histlake.functions.commandline import command_head, head_of
+
+    lines = ["ls -la", "git status", "sudo make test", "FOO=1 x", "/usr/bin/ls", "a|b", "python3.12 -m x", "g++ a.c", "x\ny", "-v x", "", " ls", "cmd&", "a.b c", "env", "tab\tx", "é x", "ls", "a;b", "2>x ls"]
+    rows = spark.createDataFrame([(x,) for x in lines] + [(None,)], "cmd string").select("cmd", command_head(F.col("cmd")).alias("head")).collect()
+    assert {r.cmd: r.head for r in rows} == {None: None} | {x: head_of(x) for x in lines}
+
+
 def test_reindex(spark):
     rows = spark.createDataFrame([(1, "", b"\x1b[1mHi\x1b[0m"), (2, "kept", b"x")], "id long, plain string, output binary")
     assert [(r.plain, r.plain_lc) for r in retention.reindex(rows).orderBy("id").collect()] == [("Hi", "hi"), ("kept", "kept")]
