@@ -194,7 +194,14 @@ def search_short_query(c: DataFrame) -> DataFrame:
     return search.search_ids(c, "do")
 
 
-@query(slim=False)
+@query(
+    f", h AS (SELECT id, plain, strpos(lower(plain), '{QUERY_WORD.lower()}') - 1 AS place, length(plain) AS n FROM commands WHERE {_HIT} {NEWEST} LIMIT 20), "
+    # Twelve three-letter tokens, the word's own three in the middle.
+    "b AS (SELECT id, plain, n, CASE WHEN place < 0 THEN 0 ELSE least(greatest(0, place - 4), greatest(0, n - 14)) END AS a FROM h) "
+    f"SELECT id, CASE WHEN a > 0 THEN '…' ELSE '' END || regexp_replace(substr(plain, a + 1, 14), '(?i){QUERY_WORD}', chr(1) || '\\0' || chr(2), 'g') "
+    "|| CASE WHEN a + 14 < n THEN '…' ELSE '' END AS snippet FROM b",
+    slim=False,
+)
 def snippet(c: DataFrame) -> DataFrame:
     return search.search(c, QUERY_WORD).select("id", "snippet")
 
@@ -370,11 +377,15 @@ def one_line(d: DataFrame) -> DataFrame:
     return d.select("doc_id", tx.one_line(F.col("text"), 80).alias("line"))
 
 
-@query(
-    f"SELECT id, CASE WHEN d IS NULL OR d <= 0 THEN '-' WHEN d < 1000 THEN d || 'ms' WHEN d < 60000 THEN printf('%.1fs', ((d + 50) // 100) / 10.0) "
-    f"WHEN d < 3600000 THEN printf('%dm%02ds', d // 60000, d // 1000 % 60) WHEN d < 86400000 THEN printf('%dh%02dm', d // 3600000, d // 60000 % 60) "
-    f"ELSE (d // 86400000) || 'd' || (d // 3600000 % 24) || 'h' END AS took FROM (SELECT id, ({_DUR}) * (id % 2000) AS d FROM commands)"
-)
+def _took_sql(d: str) -> str:
+    return (
+        f"CASE WHEN {d} IS NULL OR {d} <= 0 THEN '-' WHEN {d} < 1000 THEN {d} || 'ms' WHEN {d} < 60000 THEN printf('%.1fs', (({d} + 50) // 100) / 10.0) "
+        f"WHEN {d} < 3600000 THEN printf('%dm%02ds', {d} // 60000, {d} // 1000 % 60) WHEN {d} < 86400000 THEN printf('%dh%02dm', {d} // 3600000, {d} // 60000 % 60) "
+        f"ELSE ({d} // 86400000) || 'd' || ({d} // 3600000 % 24) || 'h' END"
+    )
+
+
+@query(f"SELECT id, {_took_sql('d')} AS took FROM (SELECT id, ({_DUR}) * (id % 2000) AS d FROM commands)")
 def human_duration(c: DataFrame) -> DataFrame:
     from ..schema import duration_ms
 
@@ -444,12 +455,15 @@ def shell_exits(c: DataFrame) -> DataFrame:
     return c.select("id", shell_exit(F.col("cmd")).alias("leaves"))
 
 
-@query()
+@query(
+    "SELECT id, CAST(list_reduce(list_prepend(CAST(14695981039346656037 AS UHUGEINT), list_transform(string_split(cmd, ''), lambda x: CAST(ord(x) AS UHUGEINT))), "
+    "lambda h, b: xor(h, b) * 1099511628211 % 18446744073709551616) % 9223372036854775808 AS BIGINT) AS seq FROM commands"
+)
 def fnv_keys(c: DataFrame) -> DataFrame:
     return c.select("id", tx.fnv_seq(F.col("cmd")).alias("seq"))
 
 
-@table_query("documents")
+@table_query("documents", "SELECT doc_id, replace(text, chr(9), ' ') AS plain FROM documents")
 def strip_ansi(d: DataFrame) -> DataFrame:
     """Documents made into terminal output by rule, and stripped again."""
     from ..functions.terminal import strip_ansi as strip
@@ -457,7 +471,14 @@ def strip_ansi(d: DataFrame) -> DataFrame:
     return d.select("doc_id", strip(_coloured()).alias("plain"))
 
 
-@table_query("documents")
+#: 'the' as a word of its own, marked; twice, as a match takes the sign between two of them.
+_THE = "regexp_replace({}, '(^|[^\\pL\\pN\\pM_])the([^\\pL\\pN\\pM_]|$)', '\\1' || chr(2) || '\\2', 'g')"
+
+
+@table_query(
+    "documents",
+    f"SELECT doc_id, replace(replace(replace(replace({_THE.format(_THE.format('text'))}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(2), '<span class=\"f1\">the</span>') AS html FROM documents",
+)
 def ansi_html(d: DataFrame) -> DataFrame:
     from ..functions.terminal import ansi_html as render
 
@@ -480,7 +501,12 @@ def diff_unified(c: DataFrame) -> DataFrame:
     return pairs.join(old, "prev_id").select("id", "prev_id", unified_diff(F.col("old"), F.col("plain")).alias("diff"))
 
 
-@query(slim=False)
+@query(
+    "SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY id) - 1 AS n, cmd, exit_code, "
+    "strlen(replace(coalesce(plain, ''), chr(10), chr(13) || chr(10))) AS output_bytes, "
+    "strlen(replace(coalesce(plain, ''), chr(10), chr(13) || chr(10))) > 262144 + 1048576 AS truncated FROM commands WHERE session_id > 0",
+    slim=False,
+)
 def segment_batch(c: DataFrame) -> DataFrame:
     """The sessions' terminal streams, made from the commands by rule, cut into commands again."""
     from ..streaming.jobs import segment_batch as segment
@@ -493,7 +519,32 @@ def segment_batch(c: DataFrame) -> DataFrame:
     return segment(own).select("session_id", "n", "cmd", "exit_code", "output_bytes", "truncated")
 
 
-@query(slim=False)
+_TEXT = "coalesce(plain, '')"
+
+
+def _exported() -> str:
+    """The newest twenty rows with secrets masked, and what their line of facts says."""
+    return (
+        f", x AS (SELECT * REPLACE ({_redact_sql('cmd')} AS cmd, {_redact_sql(_TEXT)} AS plain) FROM commands {NEWEST} LIMIT 20), "
+        f"y AS (SELECT *, {_DUR} AS d FROM x), "
+        "z AS (SELECT *, concat_ws(' · ', CASE WHEN started_ms > 0 THEN strftime(make_timestamp(started_ms * 1000), '%Y-%m-%d %H:%M:%S') ELSE 'time unknown' END, "
+        f"nullif(cwd, ''), 'exit ' || exit_code, CASE WHEN d >= 0 THEN {_took_sql('d')} END) AS meta FROM y) "
+    )
+
+
+def _escaped_sql(column: str) -> str:
+    return f"replace(replace(replace({column}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+
+
+_ISO = "CASE WHEN {0} > 0 THEN strftime(make_timestamp({0} * 1000), '%Y-%m-%dT%H:%M:%S.%gZ') END"
+
+
+@query(
+    _exported().rstrip() + ", f AS (SELECT *, '$ ' || cmd || chr(10) || plain AS t FROM z), "
+    "g AS (SELECT *, repeat('`', CAST(greatest(3, coalesce(list_max(list_transform(regexp_extract_all(t, '`+'), lambda r: length(r))), 0) + 1) AS INT)) AS fence FROM f) "
+    f"SELECT id, started_ms, fence || 'console' || chr(10) || rtrim(t, chr(10)) || chr(10) || fence || chr(10) || '<sub>' || {_escaped_sql('meta')} || '</sub>' || chr(10) AS body FROM g",
+    slim=False,
+)
 def export_markdown(c: DataFrame) -> DataFrame:
     from ..sinks import export
 
@@ -501,14 +552,23 @@ def export_markdown(c: DataFrame) -> DataFrame:
     return export.markdown(rows).orderBy("started_ms", "id")
 
 
-@query(slim=False)
+@query(
+    _exported() + "SELECT id, started_ms, CAST(to_json({'id': id, 'cmd': cmd, 'cwd': coalesce(cwd, ''), 'exit': exit_code, "
+    f"'started_at': {_ISO.format('started_ms')}, 'ended_at': {_ISO.format('ended_ms')}, 'duration_ms': d, 'output': plain}}) AS VARCHAR) AS body FROM z",
+    slim=False,
+)
 def export_json(c: DataFrame) -> DataFrame:
     from ..sinks import export
 
     return export.json_rows(export.prepared(listing.newest_then_oldest_first(c), redacted=True))
 
 
-@query(slim=False)
+@query(
+    _exported() + "SELECT '<!doctype html><html><head><meta charset=utf-8><title>Commands</title><style>pre{white-space:pre-wrap}.bo{font-weight:bold}.di{opacity:.6}.it{font-style:italic}</style></head><body>' "
+    f"|| chr(10) || string_agg('<section><h2><code>' || {_escaped_sql('cmd')} || '</code></h2><p>' || {_escaped_sql('meta')} || '</p><pre>' || {_escaped_sql('plain')} || '</pre></section>' || chr(10), '' "
+    "ORDER BY started_ms, id) || '</body></html>' || chr(10) AS document FROM z",
+    slim=False,
+)
 def export_html(c: DataFrame) -> DataFrame:
     from ..sinks import export
 
@@ -522,12 +582,18 @@ def export_cast(c: DataFrame) -> DataFrame:
     return export.asciicast(export.prepared(listing.newest_then_oldest_first(c), redacted=True))
 
 
-@query()
+@query(
+    "SELECT id, started_ms, id || chr(9) || CASE WHEN exit_code IS NULL THEN '?' WHEN exit_code = 0 THEN ' ' ELSE '!' END || ' ' || replace(cmd, chr(10), ' ⏎ ') AS line "
+    f"FROM commands {NEWEST} LIMIT 1000"
+)
 def picker_feed(c: DataFrame) -> DataFrame:
     return listing.picker_feed(c)
 
 
-@query()
+@query(
+    f", b AS ({_breakdown_sql('exit')} ORDER BY count DESC, key LIMIT 15) SELECT key, rpad(key, 32, ' ') || ' ' || lpad(CAST(count AS VARCHAR), 8, ' ') || '  ' || lpad(fail_pct || '%', 5, ' ') "
+    f"|| '  ' || lpad({_took_sql('dur_ms')}, 8, ' ') || '  ' || repeat('█', CAST(greatest(1, count * 30 // (SELECT max(count) FROM b)) AS INT)) AS line FROM b"
+)
 def stats_table(c: DataFrame) -> DataFrame:
     from ..sinks import export
 

@@ -39,7 +39,7 @@ def markdown(commands: DataFrame, details: bool = False) -> DataFrame:
     """(id, started_ms, body): a section per command, its output in a fence long enough."""
     text = F.concat(F.lit("$ "), F.col("cmd"), F.lit("\n"), F.col("plain"))
     fence = F.repeat(F.lit("`"), fence_length(text))
-    block = F.concat(fence, F.lit("console\n"), F.regexp_replace(text, r"\n*\z", "\n"), fence, F.lit("\n"))
+    block = F.concat(fence, F.lit("console\n"), F.rtrim(text, F.lit("\n")), F.lit("\n"), fence, F.lit("\n"))
     if details:
         body = F.concat(F.lit("<details><summary><code>"), html_escape(F.col("cmd")), F.lit("</code></summary>\n\n"), block, F.lit("\n</details>\n"))
     else:
