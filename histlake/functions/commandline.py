@@ -146,3 +146,9 @@ def unquote(text: str) -> str:
             out.append(plain.encode())
         at = m.end()
     return b"".join(out).decode("utf-8", "replace")
+
+
+@F.pandas_udf(T.StringType())
+def shell_unquote(text: pd.Series) -> pd.Series:
+    """``unquote`` of a column."""
+    return pd.Series([None if t is None else unquote(t) for t in text], dtype=object)

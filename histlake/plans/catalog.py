@@ -617,3 +617,6 @@ def sync_status(e: DataFrame) -> DataFrame:
 @query("SELECT id, cmd FROM commands WHERE machine IS NULL AND id > 100 AND NOT regexp_matches(cmd, '^ls')")
 def export_pending(c: DataFrame) -> DataFrame:
     return merge.export_rows(c, 100, ["^ls"]).select("id", "cmd")
+
+
+from . import records  # noqa: E402, F401 (registers its queries)
