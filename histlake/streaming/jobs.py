@@ -12,6 +12,7 @@ import pickle
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -36,26 +37,56 @@ def _ms(ts) -> int:
     return 0 if pd.isna(ts) else int(pd.Timestamp(ts).value // 1_000_000)
 
 
+_ARROW = pa.schema([
+    ("session_id", pa.int64()), ("n", pa.int64()), ("cmd", pa.string()), ("cwd", pa.string()), ("exit_code", pa.int32()), ("started_ms", pa.int64()),
+    ("ended_ms", pa.int64()), ("output", pa.binary()), ("plain", pa.string()), ("output_bytes", pa.int64()), ("truncated", pa.bool_()),
+])
+#: Bytes of output from which on a batch of commands is handed over.
+BATCH_BYTES = 8 << 20
+
+
 def segment_batch(chunks: DataFrame, **options) -> DataFrame:
     """The commands of every session. Rows reach a session's machine in order, a batch at a time, not all at once."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         session, machine, n, last = None, None, 0, 0
-        for rows in batches:
-            for session_id, ts, data in zip(rows["session_id"], rows["ts"], rows["data"], strict=True):
-                if session_id != session:
-                    if machine is not None and (found := machine.finish(last)):
-                        yield _rows(session, n, found)
+        columns: list[list] = [[] for _ in _ARROW]
+        size = 0
+
+        def add(commands: list[Command]) -> None:
+            nonlocal n, size
+            for c in commands:
+                row = session, n, c.cmd, c.cwd, c.exit_code, c.started_ms, c.ended_ms, c.output, c.plain, len(c.output), c.truncated
+                for column, value in zip(columns, row, strict=True):
+                    column.append(value)
+                n += 1
+                size += len(c.output)
+
+        def taken() -> pa.RecordBatch:
+            nonlocal size
+            out = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ARROW, strict=True)], schema=_ARROW)
+            for c in columns:
+                c.clear()
+            size = 0
+            return out
+
+        for batch in batches:
+            for session_id, ms, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if machine is None or session_id != session:
+                    if machine is not None:
+                        add(machine.finish(last))
                     session, machine, n = session_id, Segmenter(**options), 0
-                last = _ms(ts)
-                if found := machine.feed(bytes(data), last):
-                    yield _rows(session, n, found)
-                    n += len(found)
-        if machine is not None and (found := machine.finish(last)):
-            yield _rows(session, n, found)
-
-    own = chunks.select("session_id", "seq", "ts", "data").repartition("session_id").sortWithinPartitions("session_id", "seq")
-    return own.mapInPandas(run, SEGMENTS)
+                last = ms or 0
+                add(machine.feed(data.as_py() or b"", last))
+                if size >= BATCH_BYTES:
+                    yield taken()
+        if machine is not None:
+            add(machine.finish(last))
+        if columns[0]:
+            yield taken()
+
+    own = chunks.select("session_id", "seq", F.unix_millis("ts").alias("ms"), "data").repartition("session_id").sortWithinPartitions("session_id", "seq")
+    return own.select("session_id", "ms", "data").mapInArrow(run, SEGMENTS)
 
 
 class _Sessions(StatefulProcessor):
