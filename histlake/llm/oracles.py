@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontam import SPAN, WIDTH
+from .pii import AGAINST, CONTEXT, IBAN_LENGTH
 from .substring import WINDOW
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -81,3 +82,82 @@ SELECT doc_id, CAST(len(l) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(l) AS contaminated, coalesce(n_near, 0) AS n_near
 FROM t LEFT JOIN a USING (rid) LEFT JOIN b USING (rid) LEFT JOIN close USING (rid)
 """
+
+
+def _words(words: tuple[str, ...]) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+#: A kind's matches as the odd pieces between marks put around each; a piece's place is the length of those before it.
+_BASE_KINDS = (
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true"),
+    ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "len(list_filter(string_split(m, '.'), lambda x: TRY_CAST(x AS HUGEINT) IS NULL OR TRY_CAST(x AS HUGEINT) > 255)) = 0"),
+    ("card", r"[0-9]([\x20-]?[0-9])+", "len(digits) BETWEEN 12 AND 19 AND luhn % 10 = 0"),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "len(digits) BETWEEN 9 AND 15"),
+    ("ssn", r"[0-9-]+", r"regexp_full_match(m, '[0-9]{3}-[0-9]{2}-[0-9]{4}') AND m[1:3] NOT IN ('000', '666') AND m[1] <> '9' AND m[5:6] <> '00' AND m[8:11] <> '0000'"),
+)
+_MATCHES = " UNION ALL ".join(
+    f"SELECT rid, '{kind}' AS kind, string_split(regexp_replace(t, '{pattern}', chr(1) || '\\0' || chr(1), 'g'), chr(1)) AS l FROM t" for kind, pattern, _ in _BASE_KINDS
+)
+_HELD = " OR ".join(f"(kind = '{kind}' AND {rule})" for kind, _, rule in _BASE_KINDS)
+_LENGTHS = "MAP {" + ", ".join(f"'{c}': {n}" for c, n in IBAN_LENGTH.items()) + "}"
+_NEAR = " OR ".join(f"(kind = '{kind}' AND list_has_any(near, {_words(words)}))" for kind, words in CONTEXT.items())
+_LETTER = r"[\p{L}\p{Nl}\p{No}]"
+
+#: Base kinds by the contract's own patterns; IBANs tried at every place where one can begin; scores by words nearby.
+PII = rf"""
+WITH t AS (
+    SELECT row_number() OVER () AS rid, doc_id, replace(coalesce(text, ''), chr(1), chr(2)) AS t FROM documents
+), piece AS (
+    SELECT rid, kind, unnest(l) AS m, unnest(range(1, len(l) + 1)) AS k FROM ({_MATCHES}) WHERE len(l) > 1
+), placed AS (
+    SELECT rid, kind, m, k, CAST(sum(len(m)) OVER (PARTITION BY rid, kind ORDER BY k) AS BIGINT) AS b FROM piece
+), summed AS (
+    SELECT rid, kind, m, b, string_split(reverse(regexp_replace(m, '[^0-9]', '', 'g')), '') AS digits,
+           list_sum(list_transform(digits, lambda d, i: CASE WHEN i % 2 = 1 THEN ascii(d) - 48 ELSE 2 * (ascii(d) - 48) % 10 + (ascii(d) - 48) // 5 END)) AS luhn
+    FROM placed WHERE k % 2 = 0 AND regexp_matches(m, '[0-9]') OR k % 2 = 0 AND kind = 'email'
+), direct AS (
+    SELECT rid, kind, b - len(m) AS a, b FROM summed WHERE {_HELD}
+), head AS (
+    SELECT rid, string_split(regexp_replace(t, '(^|[^A-Za-z0-9])([A-Z][A-Z][0-9][0-9])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS l FROM t
+), tail AS (
+    SELECT rid, unnest(l) AS m, unnest(range(1, len(l) + 1)) AS k FROM head WHERE len(l) > 1
+), begun AS (
+    SELECT rid, k, m, CAST(sum(len(m)) OVER (PARTITION BY rid ORDER BY k) AS BIGINT) - len(m) AS a FROM tail
+), run AS (
+    SELECT rid, a, substring(t, a + 1, 80) AS rest, {_LENGTHS}[substring(t, a + 1, 2)] AS n FROM begun JOIN t USING (rid) WHERE k > 1
+), sized AS (
+    SELECT rid, a, rest, n, list_filter(range(n, 2 * n), lambda w: len(replace(rest[1:w], ' ', '')) = n)[1] AS w FROM run WHERE n IS NOT NULL
+), iban AS (
+    SELECT rid, a, a + w AS b, replace(rest[1:w], ' ', '') AS code FROM sized
+    WHERE regexp_full_match(rest[1:w], '[A-Z]{{2}}[0-9]{{2}}( ?[A-Z0-9])+') AND NOT regexp_matches(rest[w + 1 : w + 1], '[\p{{L}}\p{{N}}]')
+), valid AS (
+    SELECT rid, a, b FROM iban WHERE list_reduce(
+        list_transform(string_split(code[5:] || code[1:4], ''), lambda c: instr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', c) - 1),
+        lambda x, y: (x * CASE WHEN y > 9 THEN 100 ELSE 10 END + y) % 97) = 1
+), base AS (
+    SELECT * FROM direct WHERE kind <> 'ssn'
+), added AS (
+    SELECT rid, kind, a, b FROM direct WHERE kind = 'ssn'
+    UNION ALL SELECT rid, 'iban', a, b FROM valid v WHERE NOT EXISTS (FROM valid o WHERE o.rid = v.rid AND o.a < v.a AND o.b > v.a)
+), span AS (
+    FROM base UNION ALL FROM added d WHERE NOT EXISTS (FROM base WHERE base.rid = d.rid AND base.a < d.b AND d.a < base.b)
+), around AS (
+    SELECT rid, kind, a, b, list_transform(list_concat(
+        regexp_extract_all(substring(t, greatest(a - 40, 0) + 1, least(a, 40)), '{_LETTER}+(-{_LETTER}+)?'), regexp_extract_all(substring(t, b + 1, 40), '{_LETTER}+(-{_LETTER}+)?')
+    ), lambda w: lower(w)) AS near FROM span JOIN t USING (rid)
+), scored AS (
+    SELECT rid, kind, a, b, list_position(['email', 'ip', 'card', 'phone', 'iban', 'ssn'], kind) AS rank,
+           round(least(1.0, CAST(CASE kind WHEN 'email' THEN 80 WHEN 'ip' THEN 50 WHEN 'card' THEN 70 WHEN 'phone' THEN 50 WHEN 'iban' THEN 80 ELSE 20 END
+               + CASE WHEN {_NEAR} THEN 15 ELSE 0 END - CASE WHEN list_has_any(near, {_words(AGAINST)}) THEN 20 ELSE 0 END AS DOUBLE) / 100), 4) AS score
+    FROM around
+), joined AS (
+    SELECT rid, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card,
+           count(*) FILTER (kind = 'phone') AS n_phone, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, rank) FILTER (rank <= 4) AS base,
+           string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, rank) AS spans, max(score) AS top_score
+    FROM scored WHERE kind <> 'ssn' OR score >= 0.3 GROUP BY rid
+)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, CAST(top_score AS DOUBLE) AS top_score
+FROM t LEFT JOIN joined USING (rid)
+"""

@@ -48,4 +48,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: The other queries need hashes, tokens, positions, models or archives that SQL
 #: lacks; tests/llm holds each against a plain version of its contract.
-ORACLES: dict[str, str] = {"op1_substring_dedup": oracles.SUBSTRING_DEDUP, "op5_decontamination": oracles.DECONTAMINATION}
+ORACLES: dict[str, str] = {"op1_substring_dedup": oracles.SUBSTRING_DEDUP, "op3_pii": oracles.PII, "op5_decontamination": oracles.DECONTAMINATION}

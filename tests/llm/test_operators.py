@@ -302,6 +302,27 @@ def test_pii_redaction(spark, messy, empty):
     assert pii.redact(empty).isEmpty()
 
 
+PII_TEXTS = [
+    "", None, "a@b.co DE89370400440532013000 GB82WEST12345698765432", "AB12 DE89 3704 0044 0532 0130 00.", "iban DE89370400440532013000x",
+    "1.2.3.4.5 300.1.1.1 0001.2.3.4", "4111 1111 1111 1111 visa", "order 4111111111111111", "+1 (555) 123-4567 tel", "ssn 123-45-6789 and 666-12-1234",
+    "social 123-45-6789", "123-45-6789", "\x01 a@b.co\x01", "x" * 50 + " \u00e9 mail a@b.c.d..e", "a@b@c.d", "FR1420041010050500013M02606",
+]
+
+
+def test_pii_sql_agrees_with_the_operator(spark):
+    import duckdb
+
+    from histlake.llm import oracles
+
+    rows = list(enumerate(PII_TEXTS)) + [(3, PII_TEXTS[3])]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    found = pii.digest(spark.createDataFrame(rows, "doc_id long, text string"))
+    wanted = con.sql(f"SELECT {', '.join(found.columns)} FROM ({oracles.PII})").fetchall()
+    assert Counter(tuple(r) for r in found.collect()) == Counter(wanted)
+
+
 # 4 -------------------------------------------------------------------------
 
 
