@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontam import SPAN, WIDTH
 from .pii import AGAINST, CONTEXT, IBAN_LENGTH
+from .sharding import ROW_COST
 from .substring import WINDOW
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -161,3 +162,146 @@ SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coale
        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, CAST(top_score AS DOUBLE) AS top_score
 FROM t LEFT JOIN joined USING (rid)
 """
+
+# XXH64 in integers modulo 2**64. A rotation is a product modulo 2**64 - 1, which is exact but for the one value of all ones.
+# The hash's five primes.
+_P1, _P2, _P3, _P4, _P5 = 11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261
+_MOD, _ONES = 18446744073709551616, 18446744073709551615
+
+
+def _rot(x: str, bits: int) -> str:
+    return f"(({x}) * {1 << bits} % {_ONES})"
+
+
+def _round(acc: str, lane: str) -> str:
+    return f"({_rot(f'({acc} + {lane} * {_P2}) % {_MOD}', 31)} * {_P1} % {_MOD})"
+
+
+def _lane(start: str, width: int) -> str:
+    """The little-endian number of ``width`` bytes from ``start`` on; ``rx`` is the bytes in hex, last byte first."""
+    return f"CAST(CAST('0x' || substr(rx, 2 * (n - ({start}) - {width}) + 1, {2 * width}) AS UBIGINT) AS UHUGEINT)"
+
+
+def _folded(first: str, starts: str, width: int, step: str) -> str:
+    """``step`` of h and x over the lanes that begin at ``starts``."""
+    return f"list_reduce(list_prepend(CAST({first} AS UHUGEINT), list_transform({starts}, lambda p: {_lane('p', width)})), lambda h, x: {step})"
+
+
+def _xxh64(source: str, seed: int = 42) -> str:
+    """CTEs over the column ``s`` of a table of texts; the last, ``hashed``, has s and h (UHUGEINT)."""
+    firsts = [(seed + _P1 + _P2) % _MOD, (seed + _P2) % _MOD, seed, (seed - _P1) % _MOD]
+    v = [_folded(str(a), f"range({8 * k}, n // 32 * 32, 32)", 8, _round("h", "x")) for k, a in enumerate(firsts)]
+    mixed = "(" + " + ".join(_rot(f"v{k + 1}", b) for k, b in enumerate((1, 7, 12, 18))) + f") % {_MOD}"
+    for k in range(4):
+        zero = f"CAST(0 AS UHUGEINT) + v{k + 1}"
+        mixed = f"((xor({mixed}, {_round('CAST(0 AS UHUGEINT)', f'({zero})')}) * {_P1} + {_P4}) % {_MOD})"
+    eight = _folded("h0", "range(n // 32 * 32, n // 8 * 8, 8)", 8, f"({_rot('xor(h, ' + _round('CAST(0 AS UHUGEINT)', 'x') + ')', 27)} * {_P1} + {_P4}) % {_MOD}")
+    four = f"CASE WHEN n % 8 >= 4 THEN ({_rot(f'xor(h1, {_lane(chr(110) + ' // 8 * 8', 4)} * {_P1} % {_MOD})', 23)} * {_P2} + {_P3}) % {_MOD} ELSE h1 END"
+    one = _folded("h2", "range(n // 4 * 4, n)", 1, f"{_rot(f'xor(h, x * {_P5} % {_MOD})', 11)} * {_P1} % {_MOD}")
+    return f"""
+xx AS (
+    SELECT s, strlen(s) AS n, regexp_replace(reverse(hex(encode(s))), '(.)(.)', '\\2\\1', 'g') AS rx FROM {source}
+), x0 AS (
+    SELECT s, n, rx, {', '.join(f'{x} AS v{k + 1}' for k, x in enumerate(v))} FROM xx
+), x1 AS (
+    SELECT s, n, rx, ((CASE WHEN n >= 32 THEN {mixed} ELSE CAST({(seed + _P5) % _MOD} AS UHUGEINT) END) + CAST(n AS UHUGEINT)) % {_MOD} AS h0 FROM x0
+), x2 AS (
+    SELECT s, n, rx, {eight} AS h1 FROM x1
+), x3 AS (
+    SELECT s, n, rx, {four} AS h2 FROM x2
+), x4 AS (
+    SELECT s, {one} AS h3 FROM x3
+), x5 AS (
+    SELECT s, xor(h3, h3 >> 33) * {_P2} % {_MOD} AS h4 FROM x4
+), x6 AS (
+    SELECT s, xor(h4, h4 >> 29) * {_P3} % {_MOD} AS h5 FROM x5
+), hashed AS (
+    SELECT s, xor(h5, h5 >> 32) AS h FROM x6
+)"""
+
+
+#: Fingerprints by bits in most shingles, and all links between different fingerprints followed.
+SIMHASH = rf"""
+WITH RECURSIVE w AS (
+    SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[^\x20\x09-\x0D]+') AS l FROM documents
+), i AS (
+    SELECT rid, l, unnest(range(1, greatest(len(l) - 2, 1) + 1)) AS i FROM w WHERE len(l) > 0
+), k AS (
+    SELECT rid, array_to_string(l[i : i + 2], ' ') AS s FROM i
+), distinct_ AS (
+    SELECT DISTINCT s FROM k
+), {_xxh64('distinct_').strip()}, f AS (
+    SELECT rid, {' + '.join(f'CASE WHEN 2 * count(*) FILTER (h & {1 << b} <> 0) > count(*) THEN CAST({1 << b} AS UBIGINT) ELSE 0 END' for b in range(64))} AS fp
+    FROM k JOIN (SELECT s, CAST(h AS UBIGINT) AS h FROM hashed) USING (s) GROUP BY rid
+), own AS (
+    SELECT doc_id, CAST(coalesce(fp, 0) AS UBIGINT) AS fp FROM w LEFT JOIN f USING (rid)
+), least_ AS (
+    SELECT fp, min(doc_id) AS id FROM own GROUP BY fp
+), link AS (
+    SELECT a.fp AS a, b.fp AS b FROM least_ a JOIN least_ b ON a.fp <> b.fp AND bit_count(CAST(xor(a.fp, b.fp) AS BIT)) <= 3
+), reach AS (
+    SELECT fp AS a, fp AS b FROM least_ UNION SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b
+), comp AS (
+    SELECT reach.a AS fp, min(id) AS component_id FROM reach JOIN least_ ON least_.fp = reach.b GROUP BY reach.a
+)
+SELECT doc_id, printf('%016x', fp) AS fingerprint, component_id FROM own JOIN comp USING (fp)
+"""
+
+_CRC_POLY = 0xEDB88320
+
+
+def _crc_of(byte: int) -> int:
+    for _ in range(8):
+        byte = byte >> 1 ^ _CRC_POLY * (byte & 1)
+    return byte
+
+
+_CRC_STEP = "h >> 8"
+for _b in range(8):  # the step's table is linear over xor: one entry for each bit of the byte
+    _CRC_STEP = f"xor({_CRC_STEP}, (xor(h, x) >> {_b} & 1) * {_crc_of(1 << _b)})"
+
+#: Shards by minimax contiguous partition: the least capacity by binary search over the ends of the ordered groups, each
+#: tried shard by shard. Slots are those of one numbering cell, so of at most ``SLOT_ROWS`` rows in file order.
+SHARDING = f"""
+WITH RECURSIVE w AS (
+    SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS s FROM documents
+), distinct_ AS (
+    SELECT DISTINCT s FROM w
+), {_xxh64('distinct_').strip()}, b AS (
+    SELECT s, list_transform(regexp_extract_all(hex(encode(s)), '..'), lambda x: CAST('0x' || x AS BIGINT)) AS l FROM distinct_
+), crc AS (
+    SELECT s, xor(list_reduce(list_prepend(CAST({0xFFFFFFFF} AS BIGINT), l), lambda h, x: {_CRC_STEP}), {0xFFFFFFFF}) AS crc FROM b
+), slim AS (
+    SELECT rid, doc_id, CAST(strlen(s) + {ROW_COST} AS BIGINT) AS size, crc, CAST(h AS HUGEINT) AS h FROM w JOIN hashed USING (s) JOIN crc USING (s)
+), g AS (
+    SELECT h, h - CASE WHEN h >= {1 << 63} THEN {_MOD} ELSE 0 END AS signed, CAST(sum(size) AS BIGINT) AS size FROM slim GROUP BY h
+), ranked AS (
+    SELECT h, size, row_number() OVER o - 1 AS k, sum(size) OVER () - sum(size) OVER o + size AS rest FROM g WINDOW o AS (ORDER BY size DESC, signed ROWS UNBOUNDED PRECEDING)
+), heavy AS (
+    SELECT h, k FROM (SELECT h, k, bool_and(k + 1 < 24 AND size * (24 - k) >= rest) OVER (ORDER BY k) AS yes FROM ranked) WHERE yes
+), o AS (
+    SELECT h, size, CAST(sum(size) OVER (ORDER BY h ROWS UNBOUNDED PRECEDING) AS BIGINT) AS e FROM g ANTI JOIN heavy USING (h)
+), all_ AS (
+    SELECT list(e ORDER BY e) AS ends, max(e) AS total, max(size) AS largest, 24 - (SELECT count(*) FROM heavy) AS shards FROM o
+), tried AS (
+    SELECT greatest(largest, (total + shards - 1) // shards) AS low, largest + (total + shards - 1) // shards AS high, CAST(0 AS BIGINT) AS mark, CAST(0 AS BIGINT) AS used FROM all_
+    UNION ALL
+    SELECT CASE WHEN used = shards AND mark < total THEN (low + high) // 2 + 1 ELSE low END, CASE WHEN mark = total THEN (low + high) // 2 ELSE high END,
+           CASE WHEN mark = total OR used = shards THEN 0 ELSE list_max(list_filter(ends, lambda x: x <= mark + (low + high) // 2)) END,
+           CASE WHEN mark = total OR used = shards THEN 0 ELSE used + 1 END
+    FROM tried, all_ WHERE low < high
+), capacity AS (
+    SELECT min(high) AS c FROM tried WHERE low >= high
+), cut AS (
+    SELECT CAST(0 AS BIGINT) AS mark
+    UNION ALL
+    SELECT list_max(list_filter(ends, lambda x: x <= mark + c)) FROM cut, all_, capacity WHERE mark + c < total
+), placed AS (
+    SELECT o.h, (SELECT count(*) FROM heavy) + (SELECT count(*) FROM cut WHERE mark > 0 AND mark <= o.e - o.size) AS shard FROM o
+    UNION ALL
+    SELECT h, k FROM heavy
+)
+SELECT doc_id, size, CAST(crc AS BIGINT) AS text_crc32, 'bytes' AS law, CAST(shard AS INT) AS shard,
+       row_number() OVER (PARTITION BY shard ORDER BY rid) - 1 AS slot, CAST(NULL AS INT) AS grown_shard
+FROM slim JOIN placed USING (h)
+"""

@@ -46,6 +46,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": _documents(langid.identify),
 }
 
-#: The other queries need hashes, tokens, positions, models or archives that SQL
-#: lacks; tests/llm holds each against a plain version of its contract.
-ORACLES: dict[str, str] = {"op1_substring_dedup": oracles.SUBSTRING_DEDUP, "op3_pii": oracles.PII, "op5_decontamination": oracles.DECONTAMINATION}
+#: The other queries need tokens, models or archives that SQL lacks; tests/llm
+#: holds each against a plain version of its contract.
+ORACLES: dict[str, str] = {
+    "op1_substring_dedup": oracles.SUBSTRING_DEDUP,
+    "op3_pii": oracles.PII,
+    "op4_simhash": oracles.SIMHASH,
+    "op5_decontamination": oracles.DECONTAMINATION,
+    "op9_sharding": oracles.SHARDING,
+}

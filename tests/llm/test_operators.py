@@ -885,3 +885,20 @@ def test_language_of_messy_tables(messy, empty):
     assert all(r.lang_pred == "und" for r in rows if r.doc_id in (1, 2, 7))
     assert langid.identify(empty).isEmpty()
     assert {r.lang_pred for r in langid.identify(messy.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+
+
+@pytest.mark.parametrize(("name", "operator"), [("op4_simhash", simhash.near_duplicates), ("op9_sharding", sharding.shard_documents)])
+def test_hash_sql_agrees_with_the_operator(spark, name, operator):
+    import duckdb
+
+    rng = random.Random(9)
+    vocabulary = ["alpha", "Beta", "γάμμα", "d", "★", "a-very-long-word-of-more-than-thirty-two-bytes", " ", "İ", "x1"]
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(n)) for n in (1, 2, 3, 4, 7, 30, 200) for _ in range(6)]
+    texts += [None, "", " \t\n", "A b", "a B", "a\x00b", texts[3], texts[-1] + " tail"] + [texts[-1]] * 5
+    rows = [(None if k == 11 else k, t) for k, t in enumerate(texts)] + [(3, texts[3])]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    found = operator(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))
+    wanted = con.sql(f"SELECT {', '.join(found.columns)} FROM ({registry.ORACLES[name]})").fetchall()
+    assert Counter(tuple(r) for r in found.collect()) == Counter(wanted)
