@@ -68,10 +68,10 @@ def strip_ansi(text: Column) -> Column:
     return F.coalesce(_strip_udf(F.when(special, text)), text)
 
 
-def plain_of(plain: Column, output: Column, cap: int | None = 256 * 1024) -> Column:
-    """The stored text, or the stripped output where there is none, up to ``cap`` characters."""
+def plain_of(plain: Column, output: Column) -> Column:
+    """The stored text, or the stripped output where there is none."""
     text = F.coalesce(_strip_udf(output), F.lit(""))
-    return F.when(F.coalesce(plain, F.lit("")) == "", F.substring(text, 1, cap) if cap else text).otherwise(plain)
+    return F.when(F.coalesce(plain, F.lit("")) == "", text).otherwise(plain)
 
 
 # Style attributes: SGR code to (name, value) pairs.

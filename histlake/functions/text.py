@@ -92,6 +92,11 @@ def exit_label(key: Column) -> Column:
     return F.when(key == "?", "? (no exit recorded)").otherwise(F.coalesce(named, key))
 
 
+def next_day(day: Column) -> Column:
+    """The calendar day after a yyyy-MM-dd; null for anything else, as the key of unknown times is."""
+    return F.date_add(F.try_to_date(day, "yyyy-MM-dd"), 1).cast("string")
+
+
 def home_label(path: Column, home: str) -> Column:
     """The home directory and what is below it, shortened to ~."""
     return F.when(path == home, "~").when(path.startswith(home + "/"), F.concat(F.lit("~"), F.substring(path, len(home) + 1, 1 << 20))).otherwise(path)

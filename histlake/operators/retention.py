@@ -62,7 +62,7 @@ def apply_mutations(commands: DataFrame, log: DataFrame) -> DataFrame:
 
 def _output_text() -> Column:
     """The text of the raw output, escapes stripped."""
-    return plain_of(F.lit(""), F.col("output"), cap=None)
+    return plain_of(F.lit(""), F.col("output"))
 
 
 def redacted(commands: DataFrame, extra: list[str] | None = None) -> DataFrame:
@@ -121,7 +121,12 @@ def rewrite_days(spark, path: str, days: list[str], change) -> None:
 def rewrite_table(spark, path: str, change) -> None:
     """Likewise for a table without partitions: all of it is written anew and swapped in."""
     finish_rewrite(spark, path)
-    change(spark.read.parquet(path)).write.mode("overwrite").parquet(f"{_side(path)}/table")
+    swap_in(spark, path, change(spark.read.parquet(path)))
+
+
+def swap_in(spark, path: str, rows: DataFrame, by: tuple[str, ...] = ()) -> None:
+    """The rows as the whole of a table, partitioned by the columns named, written beside it and swapped in."""
+    rows.write.mode("overwrite").partitionBy(*by).parquet(f"{_side(path)}/table")
     finish_rewrite(spark, path)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,12 +97,24 @@ def trigrams(rows: DataFrame) -> DataFrame:
     return each.select("id", F.explode(F.array_distinct(own)).alias("tri"))
 
 
+#: Partitions of a written posting table.
+POSTING_BUCKETS = 64
+
+
+def postings(rows: DataFrame) -> DataFrame:
+    """``trigrams`` dealt to buckets and sorted by trigram, to be written partitioned by ``bucket``."""
+    dealt = trigrams(rows).withColumn("bucket", (F.crc32(F.encode("tri", "UTF-8")) % POSTING_BUCKETS).cast("int"))
+    # A trigram, and so a bucket, may hold any share of the rows: large ones are split.
+    return dealt.hint("rebalance", "bucket").sortWithinPartitions("bucket", "tri", "id")
+
+
 def search_by_trigrams(commands: DataFrame, postings: DataFrame, query: str, where: Filter = Filter()) -> DataFrame:
-    """Candidates that hold all trigrams of the query, then the exact test."""
+    """Candidates that hold all trigrams of the query, then the exact test. Of a written table only the trigrams' buckets are read."""
     q = query.lower()
     wanted = sorted({q[k : k + 3] for k in range(len(q) - 2)})
-    ids = postings.filter(F.col("tri").isin(wanted)).groupBy("id").agg(F.count("*").alias("n")).filter(F.col("n") == len(wanted)).select("id")
+    own = postings.filter(F.col("tri").isin(wanted))
+    if "bucket" in postings.columns:
+        own = own.filter(F.col("bucket").isin(sorted({zlib.crc32(t.encode()) % POSTING_BUCKETS for t in wanted})))
+    ids = own.groupBy("id").agg(F.count_distinct("tri").alias("n")).filter(F.col("n") == len(wanted)).select("id")
     hit = commands.join(ids, "id", "left_semi").filter(text_hit(query))
     return where.apply(hit).orderBy(*newest()).limit(where.rows()).select("id", "started_ms", "cmd")
-
-

@@ -18,7 +18,8 @@ from ..functions.commandline import exec_quote, shell_join, shell_quote, shell_u
 from ..functions.highlight import highlight
 from ..functions.terminal import strip_ansi
 from ..operators import listing, merge, retention
-from ..sources import history
+from ..schema import started_day
+from ..sources import history, segments
 from .catalog import _DUR, NEWEST, TO_MS, _took_sql, query, table_query
 
 _CMD = "CASE event_id % 5 WHEN 0 THEN concat('echo ''a', chr(10), 'b ', event_id, '''') WHEN 1 THEN concat('printf %s ', event_id, ' | sort') ELSE concat('echo ', event_id) END"
@@ -118,6 +119,11 @@ def ago_text(c: DataFrame) -> DataFrame:
     return c.filter(F.col("started_ms") <= TO_MS).select("id", tx.ago(F.col("started_ms"), TO_MS).alias("ago"))
 
 
+@query("SELECT id, CASE WHEN started_ms > 0 THEN strftime(CAST(make_timestamp(started_ms * 1000) AS DATE) + 1, '%Y-%m-%d') END AS next FROM commands")
+def next_days(c: DataFrame) -> DataFrame:
+    return c.select("id", tx.next_day(started_day()).alias("next"))
+
+
 @query(
     "SELECT id, CASE WHEN coalesce(host, '') = '' THEN '' ELSE '@' || host END AS host, (id % 3) || ' command' || CASE WHEN id % 3 = 1 THEN '' ELSE 's' END AS number, "
     "CASE WHEN started_ms > 0 THEN strftime(make_timestamp(started_ms * 1000), '%Y-%m-%d %H:%M:%S') ELSE 'time unknown' END AS time, "
@@ -173,3 +179,43 @@ def overwritten_lines(d: DataFrame) -> DataFrame:
     """Progress lines overwritten after a carriage return, letters taken back, and styles: only the last state shows."""
     typed = F.replace(F.col("text"), F.lit("the"), F.lit("xx\b\b\x1b[1;32mTHE\x1b[0m"))
     return d.select("doc_id", strip_ansi(F.concat(F.lit("10%\r50%\r\x1b[2K"), typed)).alias("plain"))
+
+
+@query("SELECT id AS origin_seq, cmd, cwd, exit_code, started_ms, ended_ms, host, note, plain FROM commands WHERE machine IS NULL AND id > 700", slim=False)
+def sealed_segments(c: DataFrame) -> DataFrame:
+    """Local rows past the mark 700, sealed in segments of about 100 kB and opened again."""
+    state = c.sparkSession.createDataFrame([("here", 700)], "machine string, last_seq long")
+    key = bytes(range(32))
+    sealed = segments.seal(c.filter("machine is null"), "here", key, 100_000)
+    opened = segments.open_segments(sealed, key, state)
+    return opened.select("origin_seq", "cmd", "cwd", "exit_code", "started_ms", "ended_ms", "host", "note", "plain")
+
+
+_MARKED = "CASE event_id % 4 WHEN 0 THEN '/osc7/' WHEN 1 THEN '/current/' WHEN 2 THEN '/mark/' ELSE '/nine/' END || (event_id % 7) || ' x'"
+
+
+@table_query(
+    "events",
+    f"SELECT user_id AS session_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS n, CASE event_id % 3 WHEN 0 THEN 'typed ' || event_id ELSE 'told ' || event_id END AS cmd, "
+    f"{_MARKED} AS cwd, CAST(event_id % 5 AS INT) AS exit_code, 'out ' || event_id AS plain FROM events",
+)
+def segment_marks(e: DataFrame) -> DataFrame:
+    """Sessions whose directories come by four kinds of mark, whose commands are told or only echoed, and whose screens of programs are left out."""
+    from ..streaming.jobs import segment_batch
+
+    place = F.concat_ws("", F.expr("CASE event_id % 4 WHEN 0 THEN '/osc7/' WHEN 1 THEN '/current/' WHEN 2 THEN '/mark/' ELSE '/nine/' END"), (F.col("event_id") % 7).cast("string"))
+    cwd = (
+        F.when(F.expr("event_id % 4 = 0"), F.concat(F.lit("\x1b]7;file://h"), place, F.lit("%20x\x07")))
+        .when(F.expr("event_id % 4 = 1"), F.concat(F.lit("\x1b]1337;CurrentDir="), place, F.lit(" x\x07")))
+        .when(F.expr("event_id % 4 = 2"), F.concat(F.lit("\x1b]633;P;Cwd="), place, F.lit("\\x20x\x07")))
+        .otherwise(F.concat(F.lit('\x1b]9;9;"'), place, F.lit(' x"\x07')))
+    )
+    own = F.col("event_id").cast("string")
+    typed = F.concat(F.lit("\x1b]133;A\x07$ \x1b]133;B\x07typd\bed "), own, F.lit("\r\n"))
+    told = F.concat(F.lit("\x1b]633;E;told\\x20"), own, F.lit(";n\x07"))
+    start = F.concat(F.when(F.expr("event_id % 3 = 0"), typed).otherwise(told), F.lit("\x1b]133;C\x07"))
+    screen = F.when(F.expr("event_id % 2 = 0"), F.lit("\x1b[?1049hscreen\x1b[?1049l")).otherwise("")
+    end = F.concat(F.lit("\x1b]133;D;"), (F.col("event_id") % 5).cast("string"), F.lit("\x07"))
+    data = F.concat(cwd, start, F.lit("out "), screen, own, end)
+    chunks = e.select(F.col("user_id").alias("session_id"), F.col("event_id").alias("seq"), F.timestamp_millis(F.lit(1_700_000_000_000)).alias("ts"), F.encode(data, "UTF-8").alias("data"))
+    return segment_batch(chunks).select("session_id", "n", "cmd", "cwd", "exit_code", "plain")

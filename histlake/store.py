@@ -6,16 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.redact import hits, redact
-from .operators import retention
+from .operators import retention, search
+from .plans.filters import Filter
 from .schema import COMMANDS, VERSION, started_day, with_search_text
 
 
 class Store:
-    """A folder: ``commands`` partitioned by day and sorted by time in files, ``mutations``, an append-only log, and ``version``."""
+    """A folder: ``commands`` partitioned by day and sorted by time in files, ``mutations``, an append-only log, ``version``, and ``postings`` once ``index`` has run."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        for table in ("commands", "mutations"):
+        for table in ("commands", "mutations", "postings"):
             retention.finish_rewrite(spark, f"{self.path}/{table}")
         if self.version() > VERSION:
             raise ValueError(f"the store is of version {self.version()}, this library of {VERSION}")
@@ -40,6 +41,8 @@ class Store:
         # A day, and above all the day of unknown times, may hold any share of the rows: large ones are split.
         out = day.hint("rebalance", "started_day").sortWithinPartitions("started_day", "started_ms", "id")
         out.write.mode("append").option("compression", "zstd").partitionBy("started_day").parquet(f"{self.path}/commands")
+        if self._has("postings"):
+            search.postings(rows).write.mode("append").partitionBy("bucket").parquet(f"{self.path}/postings")
 
     def raw(self) -> DataFrame:
         return self.spark.read.schema(COMMANDS + ", started_day STRING").parquet(f"{self.path}/commands")
@@ -61,13 +64,25 @@ class Store:
         """Delete a row; an unknown id is no error."""
         self.mutate(self.spark.createDataFrame([(ident, at, "delete", None)], "id long, at long, kind string, note string"))
 
-    def _mutated(self) -> bool:
+    def _has(self, table: str) -> bool:
         kind, files = retention._files(self.spark, self.path)
-        return files.exists(kind(f"{self.path}/mutations"))
+        return files.exists(kind(f"{self.path}/{table}"))
 
     def commands(self) -> DataFrame:
         """The rows as they stand: mutations applied."""
-        return retention.apply_mutations(self.raw(), self.mutations()) if self._mutated() else self.raw()
+        return retention.apply_mutations(self.raw(), self.mutations()) if self._has("mutations") else self.raw()
+
+    def index(self) -> None:
+        """Write the trigrams of all rows anew; rows appended from then on add theirs. Those of deleted rows go with the next call."""
+        retention.swap_in(self.spark, f"{self.path}/postings", search.postings(self.commands()), ("bucket",))
+
+    def search(self, query: str, where: Filter = Filter()) -> DataFrame:
+        """``search_ids`` of commands and outputs, through the postings where they are written and the query has a trigram."""
+        rows = self.commands()
+        if len(query) < search.LEAST_QUERY or not self._has("postings"):
+            return search.search_ids(rows.withColumn("note", F.lit("")), query, where)
+        own = self.spark.read.schema("tri STRING, id LONG, bucket INT").parquet(f"{self.path}/postings")
+        return search.search_by_trigrams(rows, own, query, where)
 
     def redact(self, extra: list[str] | None = None) -> int:
         """Mask secrets in the files themselves, raw output and the notes of the mutation log included; the number of rows changed."""
@@ -76,10 +91,12 @@ class Store:
         if days:
             change = lambda rows: with_search_text(retention.redacted(rows, extra))
             retention.rewrite_days(self.spark, f"{self.path}/commands", [d["started_day"] for d in days], change)
+            if self._has("postings"):
+                self.index()
         return sum(d["count"] for d in days) + self._redact_log(extra)
 
     def _redact_log(self, extra: list[str] | None) -> int:
-        if not self._mutated():
+        if not self._has("mutations"):
             return 0
         log = self.mutations()
         changed = log.filter(hits(F.coalesce("note", F.lit("")), extra) > 0).count()

@@ -90,17 +90,31 @@ def segment_batch(chunks: DataFrame, **options) -> DataFrame:
 
 
 class _Sessions(StatefulProcessor):
-    """A session's machine, its place in the sequence, and chunks that came too early."""
+    """A session's machine, its place in the sequence, and chunks that came too early.
 
-    def __init__(self, options: dict):
-        self.options = options
+    One timer runs at a time. Without a gap it is set anew by every chunk, and its
+    end is the session's: what is open comes out. Behind a gap it keeps running, and
+    its end gives the missing chunks up, so chunks wait no longer than that.
+    """
+
+    def __init__(self, options: dict, quiet_ms: int):
+        self.options, self.quiet_ms = options, quiet_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.machine = handle.getValueState("machine", "value binary")
         self.early = handle.getMapState("early", "seq long", "ts_ms long, data binary")
 
+    def _state(self) -> tuple[Segmenter, int, int, int, bool]:
+        return pickle.loads(self.machine.get()[0]) if self.machine.exists() else (Segmenter(**self.options), 0, 0, 0, False)
+
+    def _wait(self, timer_values) -> None:
+        for at in list(self.handle.listTimers()):
+            self.handle.deleteTimer(at)
+        self.handle.registerTimer(timer_values.getCurrentProcessingTimeInMs() + self.quiet_ms)
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        machine, expected, n = pickle.loads(self.machine.get()[0]) if self.machine.exists() else (Segmenter(**self.options), 0, 0)
+        machine, expected, n, last, gap = self._state()
         held: dict[int, tuple[int, bytes]] = {}
         for batch in rows:
             for seq, ts, data in zip(batch["seq"], batch["ts"], batch["data"], strict=True):
@@ -109,16 +123,35 @@ class _Sessions(StatefulProcessor):
         found = []
         while expected in held or self.early.containsKey((expected,)):
             if expected in held:
-                ms, data = held.pop(expected)
+                last, data = held.pop(expected)
             else:
-                ms, data = self.early.getValue((expected,))
+                last, data = self.early.getValue((expected,))
             if self.early.containsKey((expected,)):
                 self.early.removeKey((expected,))
-            found += machine.feed(bytes(data), ms)
+            found += machine.feed(bytes(data), last)
             expected += 1
         for seq, value in held.items():
             self.early.updateValue((seq,), value)
-        self.machine.update((pickle.dumps((machine, expected, n + len(found))),))
+        was, gap = gap, any(True for _ in self.early.keys())
+        if not (was and gap):
+            self._wait(timerValues)
+        self.machine.update((pickle.dumps((machine, expected, n + len(found), last, gap)),))
+        if found:
+            yield _rows(int(key[0]), n, found)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        machine, expected, n, last, gap = self._state()
+        found = []
+        if gap:
+            for seq in sorted(k[0] for k in self.early.keys()):
+                last, data = self.early.getValue((seq,))
+                found += machine.feed(bytes(data), last)
+                expected = seq + 1
+                self.early.removeKey((seq,))
+            self._wait(timerValues)
+        else:
+            found = machine.finish(last)
+        self.machine.update((pickle.dumps((machine, expected, n + len(found), last, False)),))
         if found:
             yield _rows(int(key[0]), n, found)
 
@@ -126,19 +159,43 @@ class _Sessions(StatefulProcessor):
         pass
 
 
-def segment_stream(chunks: DataFrame, **options) -> DataFrame:
-    """The commands finished so far, of a stream of chunks whose seq counts from 0 in each session."""
+def segment_stream(chunks: DataFrame, quiet_ms: int = 86_400_000, **options) -> DataFrame:
+    """The commands finished so far, of a stream of chunks whose seq counts from 0 in each session.
+
+    After ``quiet_ms`` of processing time without a chunk a session has ended, and its
+    last command comes out with an unknown exit; a gap in the sequence is waited for as long.
+    """
     grouped = chunks.select("session_id", "seq", "ts", "data").groupBy("session_id")
-    return grouped.transformWithStateInPandas(_Sessions(options), outputStructType=SEGMENTS, outputMode="Append", timeMode="None")
+    return grouped.transformWithStateInPandas(_Sessions(options, quiet_ms), outputStructType=SEGMENTS, outputMode="Append", timeMode="ProcessingTime")
+
+
+#: Machines of a batch up to which each one's range of numbers is a filter of its own.
+MACHINE_FILTERS = 200
+
+
+def known_rows(existing: DataFrame, batch: DataFrame) -> DataFrame:
+    """The table's rows that can share a key with the batch, by filters that prune files and row groups."""
+    seq = batch.filter("machine is not null").groupBy("machine").agg(F.min("origin_seq").alias("low"), F.max("origin_seq").alias("high"))
+    ranges = seq.orderBy("machine").limit(MACHINE_FILTERS + 1).collect()
+    if len(ranges) > MACHINE_FILTERS:
+        low, high = seq.agg(F.min("low"), F.max("high")).first()
+        return existing.filter(F.col("origin_seq").between(low, high))
+    near = F.lit(False)
+    for r in ranges:
+        near = near | ((F.col("machine") == r["machine"]) & F.col("origin_seq").between(r["low"], r["high"]))
+    return existing.filter(near)
 
 
 def merge_stream(batches: DataFrame, existing: str, checkpoint: str):
-    """Rows of a stream appended to a table unless their (machine, origin_seq) is there: at-least-once in, once out."""
+    """Rows of a stream appended to a table unless their (machine, origin_seq) is there: at-least-once in, once out.
+
+    A batch reads only the part of the table within its machines' ranges of numbers.
+    """
     from ..operators.merge import insert_or_ignore
 
     def add(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        new = insert_or_ignore(spark.read.parquet(existing), batch.withColumn("file_pos", F.monotonically_increasing_id()))
+        known = known_rows(batch.sparkSession.read.parquet(existing), batch)
+        new = insert_or_ignore(known, batch.withColumn("file_pos", F.monotonically_increasing_id()))
         new.write.mode("append").parquet(existing)
 
     return batches.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)

@@ -75,3 +75,48 @@ def test_store(spark, commands, tmp_path):
     assert store.raw().filter("id = 5000").first()["cmd"] == "curl -H token=[REDACTED]"
     with pytest.raises(ValueError, match="version"):
         migrated(store.raw(), 99)
+
+
+def test_stored_postings(spark, commands, tmp_path):
+    store = Store(spark, str(tmp_path / "p"))
+    half = commands.filter("id <= 500")
+    store.append(half)
+    want = [r.id for r in store.search("nting", Filter(limit=40)).collect()]  # a scan
+    store.index()
+    assert [r.id for r in store.search("NTING", Filter(limit=40)).collect()] == want
+    store.append(commands.filter("id > 500"))
+    rows = Store(spark, str(tmp_path / "p")).search("nting", Filter(limit=40))
+    assert [r.id for r in rows.collect()] == [r.id for r in store.commands().filter("contains(plain_lc, 'nting')").orderBy(*listing.newest()).limit(40).collect()]
+    assert "PartitionFilters: [isnotnull(bucket" in rows._jdf.queryExecution().toString() or "PartitionFilters: [bucket" in rows._jdf.queryExecution().toString()
+    first = rows.first().id
+    store.delete(first, 1)
+    assert first not in [r.id for r in store.search("nting", Filter(limit=40)).collect()]
+
+
+def test_stored_postings_follow_redaction(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "r"))
+    rows = spark.createDataFrame([(1, "export TOKEN=ghp_" + "a1B2" * 9, 86_400_000), (2, "ls", 86_400_000)], "id long, cmd string, started_ms long")
+    store.append(rows.selectExpr("*", "'' AS plain"))
+    store.index()
+    assert [r.id for r in store.search("ghp_a1b2").collect()] == [1]
+    assert store.redact() == 1
+    assert store.search("ghp_a1b2").isEmpty()
+    assert not store.spark.read.parquet(str(tmp_path / "r" / "postings")).filter("tri = 'ghp'").count()
+
+
+def test_one_shot_capture(spark, tmp_path):
+    from histlake.sources import oneshot
+
+    seen = []
+    a = oneshot.run(["sh", "-c", "echo out; echo err >&2; exit 3"], show=seen.append)
+    assert (a.exit_code, a.output, b"".join(seen), a.truncated) == (3, b"out\nerr\n", b"out\nerr\n", False)
+    assert a.cmd == "sh -c 'echo out; echo err >&2; exit 3'"
+    assert oneshot.run(["sh", "-c", "kill -TERM $$"]).exit_code == 143
+    assert oneshot.run([str(tmp_path / "none")]).exit_code == 127
+    left = oneshot.run(["sh", "-c", "sleep 20 & echo done"])
+    assert left.exit_code == 0 and left.output == b"done\n" and left.ended_ms - left.started_ms < 10_000
+    cut = oneshot.run(["sh", "-c", "printf '%050d' 7"], head_cap=4, tail_cap=4)
+    assert cut.truncated and cut.output.startswith(b"0000\n") and cut.output.endswith(b"0007")
+    store = Store(spark, str(tmp_path / "s"))
+    store.append(oneshot.recorded(spark, [a, left, cut], 7, 1, ["^sh -c 'printf"]))
+    assert [(r.id, r.exit_code, r.plain) for r in store.commands().orderBy("id").collect()] == [(7, 3, "out\nerr\n"), (8, 0, "done\n")]

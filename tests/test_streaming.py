@@ -157,3 +157,49 @@ def test_batch_equals_stream(spark, tmp_path):
     query = out.writeStream.format("memory").queryName("segments").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert sorted(tuple(r) for r in spark.table("segments").collect()) == batch
+
+
+def test_timers_end_sessions_and_give_up_gaps(spark, tmp_path):
+    import time
+
+    from histlake.streaming.jobs import segment_stream
+
+    rows = [
+        (1, 0, TELL("make") + OSC(b"133;C") + b"building\r\n"),  # no end mark
+        (2, 0, TELL("ls") + OSC(b"133;C") + b"one\r\n"), (2, 2, OSC(b"133;D;3") + TELL("pwd") + OSC(b"133;C") + b"/\r\n" + OSC(b"133;D;0")),  # chunk 1 is lost
+        (3, 0, TELL("exit") + OSC(b"133;C")),
+    ]
+    chunks = spark.createDataFrame(rows, "session_id long, seq long, data binary").withColumn("ts", F.timestamp_millis(F.lit(1_700_000_000_000)))
+    chunks.coalesce(1).write.parquet(str(tmp_path / "in"))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    live = spark.readStream.schema(chunks.schema).parquet(str(tmp_path / "in"))
+    out = segment_stream(live, quiet_ms=1000).select("session_id", "n", "cmd", "exit_code", "plain")
+    query = out.writeStream.format("memory").queryName("timed").option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="500 milliseconds").start()
+    want = [(1, 0, "make", None, "building\n"), (2, 0, "ls", 3, "one\n"), (2, 1, "pwd", 0, "/\n")]
+    until = time.time() + 90
+    while time.time() < until and spark.table("timed").count() < len(want):
+        time.sleep(0.5)
+    query.stop()
+    assert sorted(tuple(r) for r in spark.table("timed").collect()) == want
+
+
+def test_merges_read_the_batch_s_ranges_only(spark, tmp_path):
+    from histlake.streaming import jobs
+
+    schema = "machine string, origin_seq long, cmd string"
+    table = spark.createDataFrame([(f"m{k % 3}", k, f"c{k}") for k in range(30)] + [(None, None, "local")], schema)
+    batch = spark.createDataFrame([("m0", 12, "x"), ("m0", 18, "x"), ("m2", 2, "x"), ("new", 1, "x"), (None, 5, "x")], schema)
+    near = jobs.known_rows(table, batch)
+    assert sorted((r.machine, r.origin_seq) for r in near.collect()) == [("m0", 12), ("m0", 15), ("m0", 18), ("m2", 2)]
+    most, jobs.MACHINE_FILTERS = jobs.MACHINE_FILTERS, 1
+    try:
+        wide = jobs.known_rows(table, batch)
+        assert {r.origin_seq for r in wide.collect()} == set(range(1, 19))
+    finally:
+        jobs.MACHINE_FILTERS = most
+    table.write.parquet(str(tmp_path / "t"))
+    batch.write.parquet(str(tmp_path / "b"))
+    for run in range(2):  # the same batch twice: once in
+        jobs.merge_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "b")), str(tmp_path / "t"), str(tmp_path / f"cp{run}")).trigger(availableNow=True).start().awaitTermination(60)
+    keys = [tuple(r) for r in spark.read.parquet(str(tmp_path / "t")).filter("machine = 'new'").select("machine", "origin_seq").collect()]
+    assert keys == [("new", 1)]
