@@ -92,12 +92,12 @@ def segment_batch(chunks: DataFrame, **options) -> DataFrame:
 class _Sessions(StatefulProcessor):
     """A session's machine, its place in the sequence, and chunks that came too early.
 
-    One timer runs at a time. Without a gap it is set anew by every chunk, and its
+    If there are timers, one runs at a time. Without a gap it is set anew by every chunk, and its
     end is the session's: what is open comes out. Behind a gap it keeps running, and
     its end gives the missing chunks up, so chunks wait no longer than that.
     """
 
-    def __init__(self, options: dict, quiet_ms: int):
+    def __init__(self, options: dict, quiet_ms: int | None):
         self.options, self.quiet_ms = options, quiet_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -109,6 +109,8 @@ class _Sessions(StatefulProcessor):
         return pickle.loads(self.machine.get()[0]) if self.machine.exists() else (Segmenter(**self.options), 0, 0, 0, False)
 
     def _wait(self, timer_values) -> None:
+        if self.quiet_ms is None:
+            return
         for at in list(self.handle.listTimers()):
             self.handle.deleteTimer(at)
         self.handle.registerTimer(timer_values.getCurrentProcessingTimeInMs() + self.quiet_ms)
@@ -159,14 +161,17 @@ class _Sessions(StatefulProcessor):
         pass
 
 
-def segment_stream(chunks: DataFrame, quiet_ms: int = 86_400_000, **options) -> DataFrame:
+def segment_stream(chunks: DataFrame, quiet_ms: int | None = None, **options) -> DataFrame:
     """The commands finished so far, of a stream of chunks whose seq counts from 0 in each session.
 
     After ``quiet_ms`` of processing time without a chunk a session has ended, and its
     last command comes out with an unknown exit; a gap in the sequence is waited for as long.
+    A stream with such timers asks for batches for ever, so it needs a trigger by time.
+    Without ``quiet_ms`` nothing open comes out, gaps are waited for without end, and any trigger will do.
     """
+    mode = "None" if quiet_ms is None else "ProcessingTime"
     grouped = chunks.select("session_id", "seq", "ts", "data").groupBy("session_id")
-    return grouped.transformWithStateInPandas(_Sessions(options, quiet_ms), outputStructType=SEGMENTS, outputMode="Append", timeMode="ProcessingTime")
+    return grouped.transformWithStateInPandas(_Sessions(options, quiet_ms), outputStructType=SEGMENTS, outputMode="Append", timeMode=mode)
 
 
 #: Machines of a batch up to which each one's range of numbers is a filter of its own.
