@@ -575,7 +575,16 @@ def export_html(c: DataFrame) -> DataFrame:
     return export.html_page(export.prepared(listing.newest_then_oldest_first(c), redacted=True))
 
 
-@query(slim=False)
+@query(
+    _exported().rstrip() + ", c AS (SELECT id, started_ms, cmd, string_split(CASE WHEN ends_with(plain, chr(10)) THEN left(plain, length(plain) - 1) ELSE plain END, chr(10)) AS l FROM z), "
+    # A prompt 600 ms before the output, a line each 15 ms, and a pause of 800 ms.
+    "t AS (SELECT *, coalesce(sum(1400 + 15 * len(l)) OVER (ORDER BY started_ms, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM c), "
+    "k AS (SELECT *, unnest(range(1, len(l) + 1)) AS k FROM t), "
+    "e AS (SELECT started_ms, id, 0 AS k, start AS ms, '$ ' || cmd AS s FROM t UNION ALL SELECT started_ms, id, k, start + 600 + 15 * (k - 1), l[k] FROM k) "
+    "SELECT '{\"version\": 2, \"width\": 100, \"height\": 30}' || chr(10) || string_agg('[' || CAST(CAST(ms AS BIGINT) / 1000 AS VARCHAR) || ', \"o\", ' || "
+    "CAST(to_json(s || chr(13) || chr(10)) AS VARCHAR) || ']' || chr(10), '' ORDER BY started_ms, id, k) AS document FROM e",
+    slim=False,
+)
 def export_cast(c: DataFrame) -> DataFrame:
     from ..sinks import export
 
