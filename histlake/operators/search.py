@@ -85,16 +85,15 @@ def grep_totals(rows: DataFrame, query: str, before: int, after: int, text: str
     return own.groupBy("id").agg(F.sum(hit).alias("total"), F.sum(F.when(F.col("hunk") <= MOST_HUNKS, hit).otherwise(0)).alias("shown"))
 
 
-def trigrams(rows: DataFrame) -> DataFrame:
-    """(tri, id): the posting table of the search accelerator, written bucketed by trigram.
+#: A match at each character that two more follow; the group holds the three. A ``.`` is a whole code point.
+TRIGRAM = "(?s)(?=(.{3}))."
 
-    Texts are split into characters once, so each trigram costs three lookups.
-    """
-    text = F.concat_ws("\n", F.lower("cmd"), "plain_lc")
-    each = rows.select("id", F.split(text, "").alias("c")).filter(F.size("c") >= 3)
-    at = F.sequence(F.lit(0), F.size("c") - 3)
-    own = F.transform(at, lambda k: F.concat(F.col("c")[k], F.col("c")[k + 1], F.col("c")[k + 2]))
-    return each.select("id", F.explode(F.array_distinct(own)).alias("tri"))
+
+def trigrams(rows: DataFrame, key: str = "id", text: Column | None = None) -> DataFrame:
+    """(key, tri): the posting table of the search accelerator, written bucketed by trigram. The text is that of commands unless given."""
+    if text is None:
+        text = F.concat_ws("\n", F.lower("cmd"), "plain_lc")
+    return rows.select(key, F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(TRIGRAM)))).alias("tri"))
 
 
 #: Partitions of a written posting table.
@@ -108,13 +107,30 @@ def postings(rows: DataFrame) -> DataFrame:
     return dealt.hint("rebalance", "bucket").sortWithinPartitions("bucket", "tri", "id")
 
 
-def search_by_trigrams(commands: DataFrame, postings: DataFrame, query: str, where: Filter = Filter()) -> DataFrame:
-    """Candidates that hold all trigrams of the query, then the exact test. Of a written table only the trigrams' buckets are read."""
+def _candidates(postings: DataFrame, query: str, key: str = "id") -> DataFrame:
+    """Keys that hold all trigrams of the query. Of a written table only the trigrams' buckets are read."""
     q = query.lower()
     wanted = sorted({q[k : k + 3] for k in range(len(q) - 2)})
     own = postings.filter(F.col("tri").isin(wanted))
     if "bucket" in postings.columns:
         own = own.filter(F.col("bucket").isin(sorted({zlib.crc32(t.encode()) % POSTING_BUCKETS for t in wanted})))
-    ids = own.groupBy("id").agg(F.count_distinct("tri").alias("n")).filter(F.col("n") == len(wanted)).select("id")
-    hit = commands.join(ids, "id", "left_semi").filter(text_hit(query))
+    return own.groupBy(key).agg(F.count_distinct("tri").alias("n")).filter(F.col("n") == len(wanted)).select(key)
+
+
+def search_by_trigrams(commands: DataFrame, postings: DataFrame, query: str, where: Filter = Filter()) -> DataFrame:
+    """Candidates that hold all trigrams of the query, then the exact test."""
+    hit = commands.join(_candidates(postings, query), "id", "left_semi").filter(text_hit(query))
     return where.apply(hit).orderBy(*newest()).limit(where.rows()).select("id", "started_ms", "cmd")
+
+
+def search_shared(commands: DataFrame, texts: DataFrame, postings: DataFrame, query: str, where: Filter = Filter()) -> DataFrame:
+    """``search_by_trigrams`` where a text stands once for all commands that printed it.
+
+    ``commands`` names it by ``text_id`` (null: none); ``texts`` is (text_id, plain_lc), and ``postings`` its trigrams.
+    Command lines come with the rows and are short: they are tested as they are.
+    """
+    found = texts.join(_candidates(postings, query, "text_id"), "text_id", "left_semi").filter(F.col("plain_lc").contains(query.lower()))
+    by_line = F.coalesce(F.lower("cmd").contains(query.lower()), F.lit(False)) if len(query) >= LEAST_QUERY else F.lit(False)
+    rows = where.apply(commands)
+    hit = rows.filter(by_line).unionByName(rows.filter(~by_line).join(found.select("text_id"), "text_id", "left_semi").select(*rows.columns))
+    return hit.orderBy(*newest()).limit(where.rows()).select("id", "started_ms", "cmd")

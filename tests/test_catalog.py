@@ -74,3 +74,49 @@ def test_search_reads_whole_texts(spark):
     assert [(r.id, r.snippet) for r in search.search(rows, "needle").select("id", "snippet").collect()] == [(1, "…xxx \x01Needle\x02 at …")]
     assert [r.id for r in search.search_ids(rows, "needle").collect()] == [1]
     assert [r.id for r in search.search_by_trigrams(rows, postings, "needle", Filter()).collect()] == [1]
+
+
+def test_postings_of_each_text_once(spark, sf, tmp_path, monkeypatch):
+    """Events five times over: no more postings, and still what DuckDB finds."""
+    from histlake.operators import search
+
+    c = duckdb.connect()
+    c.execute(f"COPY (SELECT * REPLACE (event_id + k * 1000 AS event_id) FROM '{sf}/events.parquet', range(5) t(k)) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    c.execute(f"COPY (FROM '{sf}/documents.parquet') TO '{tmp_path}/documents.parquet' (FORMAT parquet)")
+    for t in ("events", "documents"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    made, trigrams = [], search.trigrams
+    monkeypatch.setattr(search, "trigrams", lambda *a: made.append(trigrams(*a)) or made[-1])
+    rows = catalog.QUERIES["search_postings"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, rows)) == sorted(c.execute(catalog.ORACLES["search_postings"]).fetchall())
+    texts = [t for (t,) in c.execute("SELECT lower(text) FROM documents").fetchall()]
+    assert len(made) == 1 and made[0].count() == sum(len({t[k : k + 3] for k in range(len(t) - 2)}) for t in texts)
+
+
+def test_trigrams_are_of_whole_characters(spark):
+    from histlake.operators import search
+
+    texts = [None, "", "ab", "abc", "a\n\r b", "a😀b😀a😀b", "é́日本語\x00\x85x", "aaaaaa"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, plain_lc string").selectExpr("id", "cast(null AS string) AS cmd", "plain_lc")
+    want = {(i, t[k : k + 3]) for i, t in enumerate(texts) if t for k in range(len(t) - 2)}
+    got = [(r.id, r.tri) for r in search.trigrams(rows).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_shared_texts_are_searched_as_copies_are(spark):
+    """Lines and outputs, both at once, no output, a text nothing printed, candidates without the word, filters and short queries."""
+    from histlake.operators import search
+    from histlake.plans.filters import Filter
+
+    texts = spark.createDataFrame([(0, "a needle"), (1, "needl eedle"), (2, None), (3, "needle unprinted"), (4, "needle, needle")], "text_id long, plain_lc string")
+    schema = "id long, started_ms long, cmd string, text_id long, session_id long"
+    rows = [(1, 5, "ls", 0, 1), (2, 5, "find NEEDLE", 0, 1), (3, 0, "needle", None, 2), (4, 9, "ls", None, 2), (5, 9, None, 4, 2), (6, 9, "ls", 1, 2), (7, 9, "needle", 2, 1), (8, 1, "ls", 4, 1)]
+    commands = spark.createDataFrame(rows, schema)
+    postings = search.trigrams(texts, "text_id", texts.plain_lc)
+    joined = commands.join(texts, "text_id", "left")
+    for query in ("Needle", "needle ", "ee", "", "none such"):
+        for where in (Filter(), Filter(limit=2), Filter(session=1)):
+            want = search.search_by_trigrams(joined, search.trigrams(joined), query, where)
+            got = search.search_shared(commands, texts, postings, query, where)
+            assert got.columns == want.columns and got.collect() == want.collect(), (query, where)
+    assert [r.id for r in search.search_shared(commands, texts, postings, "needle").collect()] == [7, 5, 2, 1, 8, 3]
